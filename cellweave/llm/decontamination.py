@@ -60,7 +60,8 @@ def similarity(a: Column, b: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
     """id, item, first word, similarity: the best window of each document over each item it holds.
 
-    Null and empty texts, and items without a word, match nothing. Repeated items count once an id.
+    Null and empty texts, items without a word and documents without an id match nothing. Rows that
+    share an id are one document; repeated items count once.
     """
     items = benchmark.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     items = items.select("item", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("ih", shingle_hashes(F.col("h"))).withColumn("size", F.size("h"))

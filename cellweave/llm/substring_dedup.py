@@ -82,14 +82,14 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min
     """Spans of at least ``min_bytes`` whose every chunk stands earlier in this or another document.
 
     One row a span: the document, first and last byte, chunks and the documents of the first chunk's
-    first occurrence. Null and empty texts have no chunk and no row.
+    first occurrence. Null and empty texts have no chunk and no row; rows that share an id are one document.
     """
     every = chunks(docs, text_col, id_col)
     first = every.groupBy("lo", "hi").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("lo", "hi", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"))
     later = every.join(first, ["lo", "hi"]).where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("place") == F.col("first_place"))))
     by_doc = Window.partitionBy("doc").orderBy("place")
-    runs = later.withColumn("run", F.col("place") - F.row_number().over(by_doc)).groupBy("doc", "run")
-    spans = runs.agg(F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), F.count("*").alias("n_chunks"), F.min_by("first_doc", "place").alias("first_doc_id"))
+    runs = later.withColumn("run", F.col("place") - F.dense_rank().over(by_doc)).groupBy("doc", "run")
+    spans = runs.agg(F.min("start").alias("start_byte"), F.max("stop").alias("end_byte"), (F.max("place") - F.min("place") + 1).cast("long").alias("n_chunks"), F.min_by("first_doc", "place").alias("first_doc_id"))
     return spans.where(F.col("end_byte") - F.col("start_byte") >= min_bytes).select(F.col("doc").alias("doc_id"), "start_byte", "end_byte", "n_chunks", "first_doc_id")
 
 
