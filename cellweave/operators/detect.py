@@ -81,7 +81,7 @@ def erode(pixels: DataFrame, shape: dict[str, int], size: int) -> DataFrame:
     steps = F.sequence(F.lit(-before), F.lit(size - 1 - before))
     spread = pixels.select("frame", "rank", *axes)
     for a in axes:
-        spread = spread.withColumn(a, F.explode(F.transform(steps, lambda s, a=a: F.col(a) - s)))
+        spread = spread.withColumn("__step", F.explode(steps)).withColumn(a, F.col(a) - F.col("__step")).drop("__step")
     inside, need = F.lit(True), F.lit(1)
     for a, n in shape.items():
         inside = inside & F.col(a).between(0, n - 1)
@@ -158,7 +158,7 @@ def _supported(valid: DataFrame, shape: dict[str, int], ranks: int) -> DataFrame
         level = valid.where(F.col("rank") == rank)
         hit = level.join(accepted.select("frame", *shape), ["frame", *shape], "left_semi").select("frame", "label").distinct()
         accepted = level.join(hit, ["frame", "label"], "left_semi")
-        out = out.union(accepted)
+        out = out.unionByName(accepted)
     return settle(out)
 
 

@@ -62,7 +62,7 @@ def add_grid_coordinate(features: DataFrame, grid: DataFrame, name: str, shape:
     weight: Column = F.lit(1.0)
     for a in axes:
         base = F.least(F.greatest(F.floor(F.col(f"__{a}")), F.lit(0)), F.lit(max(shape[a] - 2, 0)))
-        corners = corners.withColumn(a, F.explode(F.array(base, *([base + 1] if shape[a] > 1 else []))).cast("int"))
+        corners = corners.withColumn(a, F.explode(F.array(base.cast("int"), *([base.cast("int") + 1] if shape[a] > 1 else []))))
         weight = weight * (1 - F.abs(F.col(a) - F.col(f"__{a}"))) if shape[a] > 1 else weight
     value = corners.join(grid.select(*axes, "value"), axes).groupBy("__row").agg(F.sum(weight * F.col("value")).alias(name))
     return rows.join(value, "__row", "left").drop("__row")

@@ -162,7 +162,7 @@ def _link_in_order(points, axes, radius, period, predict, memory) -> DataFrame:
             living = [x for i, x in enumerate(living) if i not in used] + fresh
         return pd.DataFrame({"feature": list(chains), "chain": list(chains.values())})
 
-    return points.groupBy(F.lit(0)).applyInPandas(run, "feature long, chain long")
+    return points.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "feature long, chain long")
 
 
 def number_cells(chained: DataFrame, start: int = 1) -> DataFrame:

@@ -102,7 +102,7 @@ MASK_3D = [GRID_3D, labelled([60.0], dims=3), MASK[2], "mask AS (SELECT k.frame,
 TRACK = """track AS (
   SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS frame, CAST(user_id AS INT) AS cell,
     CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) * 1000000 + user_id AS feature, avg(hour(ts)) AS hdim_1, avg(minute(ts)) AS hdim_2,
-    count(*) AS num, CASE WHEN count(*) >= 3 THEN 2.0 ELSE 1.0 END AS threshold_value
+    count(*) AS num, CAST(CASE WHEN count(*) >= 3 THEN 2 ELSE 1 END AS DOUBLE) AS threshold_value
   FROM events GROUP BY 1, 2, 3),
 tracked AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(frame) AS time, hdim_1 * 1000 AS y, hdim_2 * 1000 AS x, 20 + hdim_1 AS latitude, 30 + hdim_2 AS longitude FROM track)"""
 HAVERSINE = "2 * {r} * asin(sqrt(least(1.0, pow(sin((radians({b1}) - radians({a1})) / 2), 2) + cos(radians({a1})) * cos(radians({b1})) * pow(sin((radians({b2}) - radians({a2})) / 2), 2))))"
