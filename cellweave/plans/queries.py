@@ -573,7 +573,40 @@ def cell_numbers(spark, sf_dir):
 
 @query("SELECT CAST(i // 5000 AS INT) AS frame, CAST(i % 5000 // 100 AS INT) AS hdim_1, CAST(i % 100 AS INT) AS hdim_2, round(CASE WHEN i // 5000 <= 59 THEN 10 * exp(-(pow(i % 5000 // 100 * 1000 - (10000 + 14 * (i // 5000) * 60), 2) + pow(i % 100 * 1000 - (10000 + 30 * (i // 5000) * 60), 2)) / 2e8) ELSE 0 END, 6) AS value FROM (SELECT unnest(range(500000)) AS i)")
 def synthetic_blob(spark, sf_dir):
-    return rounded(synthetic.blobs(spark, 100, {"hdim_1": 50, "hdim_2": 100}, synthetic.ONE_2D).drop("time"))
+    return rounded(synthetic.sample_2d_one(spark).drop("time"))
+
+
+def _blob_sql(frames: int, shape: dict[str, int], what: tuple, dt: float) -> str:
+    size = 1
+    for n in shape.values():
+        size *= n
+    axes, rest, columns = list(shape), f"i % {size}", {}
+    for axis, n in reversed(shape.items()):
+        columns[axis] = f"({rest}) % {n}"
+        rest = f"({rest}) // {n}"
+    total = []
+    for b in what:
+        t = f"((i // {size} - {b.first}) * {dt})"
+        parts = [f"pow({columns[a]} * 1000 - ({b.start[k]} + {b.speed[k]} * {t} + {0.5 * (b.acceleration[k] if b.acceleration else 0)} * {t} * {t}), 2) / {2 * b.sigma[k] ** 2}" for k, a in enumerate(axes)]
+        total.append(f"CASE WHEN i // {size} BETWEEN {b.first} AND {b.last} THEN {b.amplitude} * exp(-({' + '.join(parts)})) ELSE 0 END")
+    select = ", ".join(f"CAST({columns[a]} AS INT) AS {a}" for a in axes)
+    value = f"round({' + '.join(total)}, 6)"
+    return f"SELECT frame, count(*) AS cells, round(sum(value), 3) AS total, round(max(value), 5) AS high, {', '.join(f'round(sum(value * {a}), 2) AS s_{a}' for a in axes)} FROM (SELECT CAST(i // {size} AS INT) AS frame, {select}, {value} AS value FROM (SELECT unnest(range({frames * size})) AS i)) GROUP BY frame"
+
+
+def _by_frame(df: DataFrame, axes: list[str]) -> DataFrame:
+    v = F.round("value", 6)
+    return df.groupBy("frame").agg(F.count("*").alias("cells"), F.round(F.sum(v), 3).alias("total"), F.round(F.max(v), 5).alias("high"), *(F.round(F.sum(v * F.col(a)), 2).alias(f"s_{a}") for a in axes))
+
+
+@query(_blob_sql(100, {"hdim_1": 200, "hdim_2": 100}, synthetic.THREE_2D, 60))
+def synthetic_three_blobs(spark, sf_dir):
+    return _by_frame(synthetic.sample_2d_three(spark), ["hdim_1", "hdim_2"])
+
+
+@query(_blob_sql(25, {"vdim": 50, "hdim_1": 50, "hdim_2": 100}, synthetic.ONE_3D, 120))
+def synthetic_blob_3d(spark, sf_dir):
+    return _by_frame(synthetic.sample_3d_one(spark), ["vdim", "hdim_1", "hdim_2"])
 
 
 @query("SELECT CAST(i AS INT) AS frame, CAST((1 + 3 * i) % 10 AS DOUBLE) AS hdim_1, CAST(1 + i AS DOUBLE) AS hdim_2, CAST(i + 1 AS BIGINT) AS feature FROM (SELECT unnest(range(20)) AS i)")

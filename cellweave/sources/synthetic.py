@@ -12,10 +12,10 @@ from .grid import frame_time
 
 @dataclass(frozen=True)
 class Blob:
-    """A Gaussian bump: amplitude, width, first and last frame, place and speed in metres along each axis."""
+    """A Gaussian bump: amplitude, and along each axis width, place, speed (metres, seconds); first and last frame."""
 
     amplitude: float
-    sigma: float
+    sigma: tuple[float, ...]
     start: tuple[float, ...]
     speed: tuple[float, ...]
     first: int = 0
@@ -23,21 +23,41 @@ class Blob:
     acceleration: tuple[float, ...] | None = None
 
 
-# The sample blobs.
-ONE_2D = (Blob(10, 10e3, (10e3, 10e3), (14, 30), 0, 59),)
+# The sample blobs. One 2-D blob and three on 1-minute frames; one 3-D blob and three on 2-minute frames.
+ONE_2D = (Blob(10, (10e3, 10e3), (10e3, 10e3), (14, 30), 0, 59),)
 THREE_2D = (
-    Blob(10, 10e3, (20e3, 20e3), (7, 20), 0, 59),
-    Blob(20, 10e3, (100e3, 30e3), (14, 10), 40, 69),
-    Blob(15, 10e3, (150e3, 40e3), (-5, 5), 50, 69),
+    Blob(10, (10e3, 10e3), (10e3, 10e3), (14, 30), 0, 59),
+    Blob(20, (10e3, 10e3), (10e3, 20e3), (12, 0), 40, 69, (0, 0.048)),
+    Blob(15, (10e3, 10e3), (110e3, 70e3), (20, 0), 50, 69, (0, 0.040)),
 )
-ONE_3D = (Blob(10, 5e3, (10e3, 10e3, 10e3), (16, 14, 30)),)
+ONE_3D = (Blob(10, (5e3, 5e3, 5e3), (4e3, 10e3, 10e3), (16, 14, 30), 0, 29),)
 THREE_3D = (
-    Blob(10, 5e3, (4e3, 20e3, 20e3), (0, 7, 20)),
-    Blob(20, 5e3, (6e3, 100e3, 30e3), (0, 14, 10)),
-    Blob(15, 5e3, (8e3, 150e3, 40e3), (0, -5, 5)),
+    Blob(10, (5e3, 10e3, 10e3), (4e3, 10e3, 10e3), (0, 14, 30), 0, 29),
+    Blob(20, (5e3, 10e3, 10e3), (6e3, 10e3, 20e3), (0, 12, 0), 20, 34, (0, 0, 0.048)),
+    Blob(15, (5e3, 10e3, 10e3), (8e3, 110e3, 70e3), (0, 20, 0), 25, 34, (0, 0, 0.040)),
 )
 
 
+def sample_2d_one(spark: SparkSession) -> DataFrame:
+    return blobs(spark, 100, {"hdim_1": 50, "hdim_2": 100}, ONE_2D)
+
+
+def sample_2d_three(spark: SparkSession, inverted: bool = False) -> DataFrame:
+    """Three blobs; inverted, the axes change places."""
+    out = blobs(spark, 100, {"hdim_1": 200, "hdim_2": 100}, THREE_2D)
+    return out.withColumnsRenamed({"hdim_1": "hdim_2", "hdim_2": "hdim_1"}) if inverted else out
+
+
+def sample_3d_one(spark: SparkSession, inverted: bool = False) -> DataFrame:
+    out = blobs(spark, 25, {"vdim": 50, "hdim_1": 50, "hdim_2": 100}, ONE_3D, dt=120)
+    return out.withColumnsRenamed({"hdim_1": "hdim_2", "hdim_2": "hdim_1"}) if inverted else out
+
+
+def sample_3d_three(spark: SparkSession, inverted: bool = False) -> DataFrame:
+    out = blobs(spark, 25, {"vdim": 20, "hdim_1": 200, "hdim_2": 100}, THREE_3D, dt=120)
+    return out.withColumnsRenamed({"hdim_1": "hdim_2", "hdim_2": "hdim_1"}) if inverted else out
+
+
 def blobs(spark: SparkSession, frames: int, shape: dict[str, int], what: tuple[Blob, ...], dt: float = 60, dxy: float = 1000) -> DataFrame:
     """A field of moving Gaussian blobs; ``shape`` names the axes in any order."""
     size = 1
@@ -51,11 +71,11 @@ def blobs(spark: SparkSession, frames: int, shape: dict[str, int], what: tuple[B
     axes, value = [a for a in ("vdim", "hdim_1", "hdim_2") if a in shape], F.lit(0.0)
     for b in what:
         t = (F.col("frame") - b.first) * dt
-        squares = F.lit(0.0)
+        exponent = F.lit(0.0)
         for k, axis in enumerate(axes):
             place = b.start[k] + b.speed[k] * t + (0.5 * b.acceleration[k] * t * t if b.acceleration else 0)
-            squares = squares + F.pow(F.col(axis) * dxy - place, 2)
-        bump = b.amplitude * F.exp(-squares / (2 * b.sigma**2))
+            exponent = exponent + F.pow(F.col(axis) * dxy - place, 2) / (2 * b.sigma[k] ** 2)
+        bump = b.amplitude * F.exp(-exponent)
         value = value + F.when(F.col("frame").between(b.first, b.last), bump).otherwise(0.0)
     return out.select("frame", frame_time("frame", "2000-01-01 12:00:00", int(dt)).alias("time"), *axes, value.alias("value"))
 

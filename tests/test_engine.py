@@ -135,14 +135,10 @@ def test_seeds(spark):
 L1 = ([85, 15, 95, 5, 5, 95, 15, 85], [0, 0, 1, 1, 2, 2, 3, 3])
 
 
-def crossing(spark):
-    rows = [(k + 1, f, float(h), 50.0 if k % 2 == 0 else 45.0) for k, (h, f) in enumerate(zip(*L1, strict=True))]
-    return spark.createDataFrame(rows, "feature long, frame int, hdim_1 double, hdim_2 double").withColumn("time", F.expr("timestamp_ntz '2022-01-01' + make_dt_interval(frame)"))
-
-
 @pytest.mark.parametrize(("method", "period", "want"), [("random", None, [1, 2, 1, 2, 2, 1, 2, 1]), ("random", {"hdim_1": 100}, [1, 2, 1, 2, 2, 1, 2, 1]), ("predict", None, [1, 2, 1, 2, 3, 4, 3, 4]), ("predict", {"hdim_1": 100}, [1, 2, 1, 2, 1, 2, 1, 2])])
 def test_links_of_the_crossing_pair(spark, method, period, want):
-    rows = spark.createDataFrame([(k + 1, f, float(h), c) for k, (h, f, c) in enumerate(zip(*L1, [50.0, 45, 50, 45, 45, 50, 45, 50] if method == "random" else [50.0, 45, 50, 45, 50, 45, 50, 45], strict=True))], "feature long, frame int, hdim_1 double, hdim_2 double").withColumn("time", F.expr("timestamp_ntz '2022-01-01' + make_dt_interval(frame)"))
+    points = [(k + 1, f, float(h), 50.0 if k % 2 == 0 else 45.0) for k, (h, f) in enumerate(zip(*L1, strict=True))]
+    rows = spark.createDataFrame(points, "feature long, frame int, hdim_1 double, hdim_2 double").withColumn("time", F.expr("timestamp_ntz '2000-01-01' + make_dt_interval(0, 0, 5 * frame)"))
     got = tracks.link(rows, 1, 1, d_max=10, method=method, period=period).orderBy("feature").collect()
     assert [r.cell for r in got] == want
 
