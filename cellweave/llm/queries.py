@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, mixing, neardup, quality_classifier, quality_rules, secrets, substring_dedup, token_count, toxicity
+from . import decontamination, langid, mixing, neardup, oracles, quality_classifier, quality_rules, secrets, substring_dedup, token_count, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,4 +44,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_near_duplicates": oracles.NEAR_DUPLICATES, "op10_decontamination": oracles.DECONTAMINATION}

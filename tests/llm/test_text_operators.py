@@ -350,6 +350,20 @@ def test_decontamination_edges(spark, edges, empty):
     assert decontamination.query(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_near_duplicates", "op10_decontamination"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from cellweave.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, SF).select(*(d[0] for d in want.description))
+    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
