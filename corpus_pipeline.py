@@ -25,10 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the one with the lowest id."""
-    found = neardup.near_duplicates(docs, words_each=5)
-    gone = found.where("doc != component").select(F.col("doc").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    found = settle(neardup.near_duplicates(docs, words_each=5))
+    gone = found.where("doc != component").select(F.col("doc").alias("doc_id"))
+    again = found.where("doc IS NOT NULL").groupBy(F.col("doc").alias("doc_id")).count().where("count > 1").select("doc_id")
+    single = docs.join(gone.union(again).distinct(), "doc_id", "left_anti")
+    # rows that share an id are one document; only those are brought together
+    repeated = docs.join(again, "doc_id", "left_semi").join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return single.select(*docs.columns).union(repeated.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
