@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalar import haversine
+from ..functions.scalar import EARTH_RADIUS_M, haversine
 from ..sources.grid import axes_of
 
 NAMED: dict[str, Callable[[str], Column]] = {
@@ -99,6 +99,32 @@ def cell_areas_xy(rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataF
     return widths(rows, "hdim_1", "y"), widths(columns, "hdim_2", "x")
 
 
+def bounds(coordinate: DataFrame, index: str, value: str) -> DataFrame:
+    """(index, low, high) of a 1-D coordinate, bounds halfway between neighbours and as far out at the ends."""
+    order = Window.orderBy(index)
+    before, after, v = F.lag(value).over(order), F.lead(value).over(order), F.col(value)
+    low = F.when(before.isNull(), v - (after - v) / 2).otherwise((before + v) / 2)
+    high = F.when(after.isNull(), v + (v - before) / 2).otherwise((after + v) / 2)
+    return coordinate.select(index, F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
+
+
+def cell_areas_axes(latitudes: DataFrame, longitudes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Factors of the cell areas of a regular grid (m2): bands (hdim_1, band) and shares (hdim_2, share); an area is their product.
+
+    A band is the sphere's area between two latitudes by radian of longitude.
+    """
+    bands = bounds(latitudes, "hdim_1", "latitude").select("hdim_1", (F.lit(EARTH_RADIUS_M**2) * (F.sin(F.radians(F.least(F.col("high"), F.lit(90.0)))) - F.sin(F.radians(F.greatest(F.col("low"), F.lit(-90.0)))))).alias("band"))
+    return bands, bounds(longitudes, "hdim_2", "longitude").select("hdim_2", F.radians(F.col("high") - F.col("low")).alias("share"))
+
+
+def area_of_columns(mask: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """(feature, area) from two tables of factors, one by hdim_1 and one by hdim_2; no table of all cells is made."""
+    flat = mask.where("feature > 0").select("frame", "feature", "hdim_1", "hdim_2").distinct()
+    (a,), (b,) = ([c for c in t.columns if c not in ("hdim_1", "hdim_2")] for t in (rows, columns))
+    by_row = flat.join(rows.withColumnRenamed(a, "__a"), "hdim_1").join(columns.withColumnRenamed(b, "__b"), "hdim_2")
+    return by_row.groupBy("feature").agg(F.sum(F.col("__a") * F.col("__b")).alias("area"))
+
+
 def cell_areas_latlon(grid: DataFrame) -> DataFrame:
     """(hdim_1, hdim_2, area in m2) of a 2-D latitude / longitude grid: centred haversine spacings, one-sided at the edges."""
     def spacing(part: str, order: str) -> Column:

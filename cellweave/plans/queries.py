@@ -378,6 +378,20 @@ def area_histogram(spark, sf_dir):
     return rounded(analysis.area_histogram(sized, AREA_EDGES), 4)
 
 
+@query(with_sql(MASK, "SELECT CAST(feature AS BIGINT) AS feature, round(sum(6371000.0 * 6371000.0 * (sin(radians(30 + hdim_1 * 0.5 + 0.25)) - sin(radians(30 + hdim_1 * 0.5 - 0.25))) * radians(0.25)), 1) AS area FROM mask GROUP BY feature"))
+def feature_area_regular(spark, sf_dir):
+    rows = spark.range(12).select(F.col("id").cast("int").alias("hdim_1"), (30 + F.col("id") * 0.5).alias("latitude"))
+    columns = spark.range(12).select(F.col("id").cast("int").alias("hdim_2"), (10 + F.col("id") * 0.25).alias("longitude"))
+    return rounded(stats.area_of_columns(masked(spark, sf_dir)[2], *stats.cell_areas_axes(rows, columns)), 1)
+
+
+@query(with_sql(MASK, "SELECT CAST(feature AS BIGINT) AS feature, sum(CASE WHEN hdim_1 = 0 THEN 1000 WHEN hdim_1 = 11 THEN 21000 ELSE 2000 * hdim_1 END * CAST(500 AS DOUBLE)) AS area FROM mask GROUP BY feature"))
+def feature_area_xy(spark, sf_dir):
+    rows = spark.range(12).select(F.col("id").cast("int").alias("hdim_1"), (F.col("id") * F.col("id") * 1000.0).alias("y"))
+    columns = spark.range(12).select(F.col("id").cast("int").alias("hdim_2"), (F.col("id") * 500.0).alias("x"))
+    return stats.area_of_columns(masked(spark, sf_dir)[2], *stats.cell_areas_xy(rows, columns))
+
+
 # ---------------------------------------------------------------- cells and tracks
 
 
