@@ -371,7 +371,7 @@ def _bins(source: str, value: str, edges: list[float], weight: str = "1") -> str
 AREA_EDGES = [0.0, 2e9, 4e9, 8e9, 16e9, 64e9]
 
 
-@query(with_sql([*MASK, _AREAS, "sized AS (SELECT feature, sum(area) AS area FROM mask JOIN areas USING (hdim_1, hdim_2) GROUP BY feature)"], _bins("sized", "area", AREA_EDGES)))
+@query(with_sql([*MASK, _AREAS, "sized AS (SELECT feature, sum(area) AS area FROM mask JOIN areas USING (hdim_1, hdim_2) GROUP BY feature)"], _bins("sized", "area", AREA_EDGES, "CASE WHEN s.v IS NULL THEN 0 ELSE 1 END")))
 def area_histogram(spark, sf_dir):
     _, features, mask = masked(spark, sf_dir)
     sized = stats.calculate_area(features.select("feature"), mask, stats.cell_areas_latlon(latlon(spark)))
