@@ -6,9 +6,11 @@ independent trees a class branches, level by level, on the token of its set that
 hash chosen by the path so far, so two classes stay together down a level with a chance equal to
 their similarity. The first node looked at is three levels deep. There every class is held against
 the node's pivot. Where the confirmed links leave a node in more than one component, a small node is
-compared exhaustively across its components and a large one branches on. Every link is confirmed on
-full sets. Trees miss a pair of similarity 0.8 at level three with a chance of (1 - 0.8 ** 3) ** 16,
-about 1e-5.
+compared exhaustively across its components and a large one branches on. A large node that the links
+found so far still leave in more than one component is compared exhaustively too, block by block, on
+parity bitmaps of the sets: the bits in which two differ are at most the tokens in which the sets do,
+so no pair at the threshold is passed over. Every link is confirmed on full sets. Trees miss a pair of
+similarity 0.8 at level three with a chance of (1 - 0.8 ** 3) ** 16, about 1e-5, in nodes of any size.
 
 Rows that share a document id are one document. Rows without an id link with nothing.
 """
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import settle, texts_of
 
 TREES, LEVELS, SMALL = 16, (3, 5, 7), 24
+BLOCK = 1024
 _SEEDS = np.random.default_rng(41).integers(1, 2**62, TREES).astype(np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xD6E8FEB86659FD93)
@@ -92,6 +95,66 @@ def _sets(docs: DataFrame, words_each: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, tokens array<long>")
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each of at least eight bits a token, a power of two in all."""
+    size = 1 << max(10, (8 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _bitmaps(docs: DataFrame, words_each: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = texts_of(batch, "__text"), batch.column(0)
+            for a in range(0, len(texts), 1000):
+                bits = [bitmap(shingle_set(t, words_each)).tobytes() for t in texts[a : a + 1000]]
+                yield pa.RecordBatch.from_arrays([ids[a : a + 1000], pa.array(bits, pa.binary())], names=["id", "bits"])
+
+    return docs.mapInArrow(run, "id long, bits binary")
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _block_pairs(rows: DataFrame, bitmaps: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of a node between its components that may reach the threshold, by blocks of about ``BLOCK`` members."""
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    dealt = rows.select("id", "n", "component", key, F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    held = dealt.join(bitmaps, "id").select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "bits")
+
+    def run(block: pa.Table) -> pa.Table:
+        i, j, own, ids, n, component = (block.column(c).to_numpy() for c in ("i", "j", "own", "id", "n", "component"))
+        by_width: dict[int, tuple[list[int], list[bytes]]] = {}
+        for k, b in enumerate(block.column("bits").to_pylist()):
+            at, parts = by_width.setdefault(len(b) // 8, ([], []))
+            at.append(k)
+            parts.append(b)
+        groups = {w: (np.array(at), np.frombuffer(b"".join(parts), np.uint64).reshape(-1, w)) for w, (at, parts) in by_width.items()}
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for w1, (at1, bits1) in groups.items():
+            for w2, (at2, bits2) in groups.items():
+                left, right = own[at1] == i[at1], own[at2] == j[at2]
+                x, y = at1[left], at2[right]
+                one, two = _folded(bits1[left], min(w1, w2)), _folded(bits2[right], min(w1, w2))
+                for k, row in zip(x.tolist(), one, strict=True):
+                    near = (100 * np.minimum(n[k], n[y]) >= percent * np.maximum(n[k], n[y])) & (component[k] != component[y])
+                    if i[k] == j[k]:
+                        near &= ids[k] < ids[y]
+                    near = np.flatnonzero(near)
+                    both = n[k] + n[y[near]]
+                    apart = np.bitwise_count(two[near] ^ row).sum(axis=1, dtype=np.int64)
+                    hit = ids[y[near[(100 + percent) * (both - apart) >= 2 * percent * both]]]
+                    found_a.append(np.minimum(ids[k], hit))
+                    found_b.append(np.maximum(ids[k], hit))
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    return held.groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in the links (a, b), the component named by its lowest id.
 
@@ -176,7 +239,15 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     more = candidates[0]
     for c in candidates[1:]:
         more = more.union(c)
-    of = components(links.union(_confirmed(more.distinct(), texts, words_each, percent)))
+    links = links.union(_confirmed(more.distinct(), texts, words_each, percent))
+    of = components(links)
+    # large nodes that are still in parts: all pairs between the parts
+    large = top.where(F.col("c") > SMALL).join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = settle(unsettled(large, "k0").select("id", "n", "k0", "c", "component"))
+    if not large.isEmpty():
+        wanted = texts.join(large.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+        more = _block_pairs(large, settle(_bitmaps(wanted, words_each)), "k0", percent)
+        of = components(links.union(_confirmed(more.distinct(), texts, words_each, percent)))
     named = classes.select("lo", "hi", F.col("doc").alias("id")).join(of, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component"))
     linked = features.select("doc", "n", "lo", "hi").where("n > 0 AND doc IS NOT NULL").join(named, ["lo", "hi"]).select("doc", "n", "component")
     alone = features.where("n = 0 OR doc IS NULL").select("doc", "n", F.col("doc").alias("component"))

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cellweave.llm import decontamination, langid, mixing, neardup, quality_classifier, quality_rules, secrets, substring_dedup, token_count, toxicity
@@ -182,6 +183,26 @@ def test_near_duplicate_family_of_chained_variants(spark):
     assert got == brute_components(texts)
 
 
+def test_near_duplicates_in_a_template_family(spark):
+    # 170 of 200 shingles are the template's (similarity 0.74); the two of each pair share 178 (0.802)
+    base = [f"t{k}" for k in range(171)]
+    texts = [(k, " ".join(base + [f"p{k // 2}x{j}" for j in range(8)] + [f"o{k}x{j}" for j in range(22)])) for k in range(1200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.query(docs).collect()}
+    assert got == {k: k - k % 2 for k in range(1200)}
+
+
+def test_bitmaps_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 100, 130, 5000):
+        pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(pool[n // 5 : n + n // 3])
+        x, y = (neardup.bitmap(s)[None] for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        apart = int(np.bitwise_count(neardup._folded(x, width) ^ neardup._folded(y, width)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_edges(edges, empty):
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.query(edges).collect()))
     assert got[:3] == [(False, 1, 0, 1, True), (False, 2, 0, 2, True), (False, 3, 0, 3, True)]
