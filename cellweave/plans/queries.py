@@ -462,6 +462,15 @@ def cell_overlap(spark, sf_dir):
     return rounded(analysis.overlap(track.where("cell < 20"), track.where("cell >= 20 AND cell < 40"), ("y", "x"), min_sum=1.0))
 
 
+@query(with_sql([TRACK], """SELECT a.cell AS cell_1, b.cell AS cell_2, count(*) AS n_common, round(sum(1 / (1 + sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 1000)), 6) AS inverse_distance_sum,
+  round(avg(1 / (1 + sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 1000)), 6) AS inverse_distance_mean
+  FROM tracked a JOIN tracked b USING (time) WHERE a.cell % 2 = 0 AND b.cell % 2 = 1 GROUP BY 1, 2 HAVING sum(1 / (1 + sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 1000)) >= 1"""))
+def cell_overlap_whole(spark, sf_dir):
+    """Every even cell against every odd one: the two tables together hold the whole track."""
+    track = user_track(spark, sf_dir)
+    return rounded(analysis.overlap(track.where("cell % 2 = 0"), track.where("cell % 2 = 1"), ("y", "x"), min_sum=1.0))
+
+
 @query(with_sql([TRACK], """SELECT t.cell, CAST(f.frame AS INT) AS frame, round(a.hdim_1 + coalesce((n.hdim_1 - a.hdim_1) * (f.frame - a.frame) / (n.frame - a.frame), 0), 6) AS hdim_1
   FROM (SELECT cell, min(frame) AS lo, max(frame) AS hi FROM tracked GROUP BY cell) t, LATERAL (SELECT unnest(range(t.lo, t.hi + 1)) AS frame) f
   JOIN tracked a ON a.cell = t.cell AND a.frame = (SELECT max(frame) FROM tracked q WHERE q.cell = t.cell AND q.frame <= f.frame)
