@@ -4,24 +4,33 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: spark.checkpoint.dir, or a temporary folder where all runs in one local JVM."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellweave-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the session's shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellweave-checkpoint-"))
+    """Cut the lineage with a checkpoint in the session's shared folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", hubs: bool = False) -> DataFrame:
     """(node, component) of every node that has an edge; the component is its lowest node.
 
     Every round points each node's larger neighbours at its lowest one, then each node and its smaller
     neighbours too; chains halve, so rounds grow with the logarithm of the longest. Only two numbers a
-    round reach the driver.
+    round reach the driver. With ``hubs`` both sides of the widest join are tables, plain exchanges then,
+    so that adaptive execution can split the edges of a node with very many of them.
     """
     pairs = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
@@ -29,6 +38,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = settle(low) if hubs else low
         larger = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = larger.groupBy("u").agg(F.min("v").alias("m"))
         rest = larger.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
