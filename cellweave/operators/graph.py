@@ -19,9 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the session's shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a checkpoint in the session's shared folder, so a lost executor costs no recomputation.
+
+    The result is a plain table of the checkpointed rows: a checkpoint alone would keep the plan's estimate of
+    its size, and estimates of joins multiply, round after round of a loop, to numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", hubs: bool = False) -> DataFrame:
