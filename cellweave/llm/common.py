@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.graph import settle, shared_folder  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,15 +24,6 @@ def fold_bucket(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the session's shared folder, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellweave-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def texts_of(batch: pa.RecordBatch, text_col: str) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     column = batch.column(batch.schema.get_field_index(text_col))
@@ -86,15 +79,16 @@ def annotate(docs: DataFrame, text_col: str, added: T.StructType, function: Call
     return source.mapInArrow(run, schema)
 
 
-def bounded_sample(docs: DataFrame, strata: list[str], salt_col: str, per_stratum: int) -> DataFrame:
-    """About ``per_stratum`` rows of each stratum, picked by a hash of ``salt_col``; reruns pick the same rows.
+def bounded_sample(docs: DataFrame, strata: list[str], text_col: str, salt_col: str, per_stratum: int) -> DataFrame:
+    """About ``per_stratum`` rows of each stratum and at most twice as many in all; reruns pick the same rows.
 
-    Only the number of strata and their counts come to the driver.
+    Rows are picked by a hash of ``salt_col`` and the text, so neither a repeated id nor a missing one picks
+    many at once, and repeated rows are cut at the bound. Only the strata and their counts come to the driver.
     """
     counts = docs.groupBy(*strata).count().collect()
     if not counts:
         return docs.limit(0)
-    unit = F.pmod(F.xxhash64(F.col(salt_col), F.lit(17)), F.lit(1 << 30))
+    unit = F.pmod(F.xxhash64(F.col(salt_col), F.col(text_col), F.lit(17)), F.lit(1 << 30))
     wanted = F.lit(False)
     for row in counts:
         share = min(1.0, per_stratum / row["count"])
@@ -102,4 +96,16 @@ def bounded_sample(docs: DataFrame, strata: list[str], salt_col: str, per_stratu
         for name in strata:
             same = same & F.col(name).eqNullSafe(F.lit(row[name]))
         wanted = wanted | (same & (unit < F.lit(int(share * (1 << 30)))))
-    return docs.where(wanted)
+    return docs.where(wanted).orderBy(unit, *strata).limit(2 * per_stratum * len(counts))
+
+
+def trained(sample: DataFrame, function: Callable[[list[tuple]], object]) -> object:
+    """What ``function`` makes of the rows of a bounded sample, in one task of an executor; the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+        packed = pickle.dumps(function(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["model"])
+
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row[0]) if row else function([])

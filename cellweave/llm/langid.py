@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import annotate, bounded_sample, fold_bucket, joined
+from .common import annotate, bounded_sample, fold_bucket, joined, trained
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -77,8 +77,11 @@ def _zeroed_starts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets[:-1]
 
 
-def train(samples: dict[str, list[bytes]], max_contexts: int = 6000) -> ContextTrees:
-    """Context trees of each language; of order-three contexts the ``max_contexts`` commonest are kept."""
+def train(samples: dict[str, list[bytes]]) -> ContextTrees:
+    """Context trees of each language, with every context of the samples.
+
+    Their number is bounded by the bytes of the sample; a table row holds a code length for each symbol and language.
+    """
     languages = sorted(k for k, texts in samples.items() if any(texts))
     if not languages:
         return ContextTrees([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
@@ -93,12 +96,8 @@ def train(samples: dict[str, list[bytes]], max_contexts: int = 6000) -> ContextT
     symbol = rank[_LOWER]
     streams = {k: _contexts(*_zeroed_starts(samples[k]), symbol, size) for k in languages}
 
-    pooled = np.zeros(size**3, np.int64)
-    for code, _ in streams.values():
-        pooled += np.bincount(code, minlength=size**3)
-    common = np.argsort(-pooled, kind="stable")[:max_contexts]
-    third = common[pooled[common] > 1]
-    second = np.flatnonzero(pooled.reshape(size, size * size).sum(axis=0))
+    third = np.unique(np.concatenate([np.unique(code) for code, _ in streams.values()])).astype(np.int64)
+    second = np.unique(third % (size * size))
     # contexts: order three, then order two, then order one; each falls back to the next
     codes = np.concatenate([third, second])
     fall = np.tile(len(codes) + np.arange(size, dtype=np.int32), size)
@@ -142,11 +141,15 @@ def _expand(levels: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(train_docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 300) -> ContextTrees:
-    """Train on about ``per_language`` whole labelled texts of each language (the bound of the sample)."""
-    rows = bounded_sample(train_docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col), [lang_col], id_col, per_language)
+    """Train on about ``per_language`` whole labelled texts of each language (the bound of the sample), in one task."""
+    rows = bounded_sample(train_docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col), [lang_col], text_col, id_col, per_language)
+    return trained(rows.select(lang_col, text_col), _train_rows)
+
+
+def _train_rows(rows: list[tuple[str, str]]) -> ContextTrees:
     samples: dict[str, list[bytes]] = {}
-    for row in rows.select(lang_col, text_col).toLocalIterator():
-        samples.setdefault(row[0], []).append(row[1].encode())
+    for lang, text in rows:
+        samples.setdefault(lang, []).append(text.encode())
     return train(samples)
 
 

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import annotate, bounded_sample, fold_bucket, joined
-from .toxicity import labelled_rows
+from .common import annotate, fold_bucket, joined, trained
+from .toxicity import labelled_rows, labelled_sample
 
 PASSAGE, CELLS, GRAM_BITS, HIDDEN, GATE = 256, 128, 12, 12, 8
 #: Character classes: other control, lower, upper, digit, space, line end, stops, symbols, bars, bangs, quotes and brackets, beyond ASCII.
@@ -124,9 +124,7 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, ste
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", per_class: int = 800) -> Attention:
     """Train on about ``per_class`` whole texts of each label (the bound of the sample); null labels are left out."""
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(id_col, text_col, label_col)
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
-    got = sorted((r[0] or 0, r[2], (r[1] or "").encode()) for r in bounded_sample(rows, [label_col], id_col, per_class).collect())
-    return train([t for _, _, t in got], [int(k) for _, k, _ in got], counts.get(1, 0) / sum(counts.values()) if counts else None)
+    return trained(*labelled_sample(rows, text_col, label_col, id_col, per_class, train))
 
 
 def score(docs: DataFrame, net: Attention, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:

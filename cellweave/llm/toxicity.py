@@ -13,9 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import annotate, bounded_sample, fold_bucket, pieces
+from .common import annotate, bounded_sample, fold_bucket, pieces, trained
 
 WINDOW, STRIDE, GRAM_BITS, STATES, WORD_DIM, CHAR_DIM = 40, 30, 13, 6, 6, 6
+STEPS = 240  # least steps of training in all
 _SLOTS = 16  # bits of a slot number in the table of known words
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,14 +93,18 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Network:
-    known: np.ndarray  # slot -> hash of the word known there
-    row: np.ndarray  # slot -> that word's row of ``words``; row 0 is any other word
+    known: np.ndarray  # sorted hashes of the known words; word k has row k + 1 of ``words``, any other has row 0
+    first: np.ndarray  # slot -> place of its first hash, and one place more at the end
     w: dict[str, np.ndarray]
     scale: tuple[float, float] = (1.0, 0.0)
 
     def rows(self, key: np.ndarray) -> np.ndarray:
         slot = (key >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        return np.where(self.known[slot] == key, self.row[slot], 0)
+        start, stop, row = self.first[slot], self.first[slot + 1], np.zeros(len(key), np.int32)
+        for k in range(int(np.diff(self.first).max(initial=0))):  # as many looks as the fullest slot has words
+            at = np.minimum(start + k, len(self.known) - 1)
+            row = np.where((start + k < stop) & (self.known[at] == key), at + 1, row)
+        return row
 
     def embed(self, words: Words) -> np.ndarray:
         """[word, WORD_DIM + CHAR_DIM]"""
@@ -211,15 +216,12 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, rou
     normal = lambda *shape, by=0.3: rng.normal(0, by, shape).astype(np.float32)
     per_text = words.of_texts()
     keys, odds = _log_odds([k for k, _ in per_text], text_y, 3)
-    keys, odds = (x[np.argsort(np.abs(odds), kind="stable")] for x in (keys, odds))  # of words in one slot the most telling stays
-    known, row = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int32)
-    slot = (keys >> np.uint64(64 - _SLOTS)).astype(np.int64)
-    known[slot], row[slot] = keys, np.arange(1, len(keys) + 1)
+    first = np.searchsorted(keys >> np.uint64(64 - _SLOTS), np.arange((1 << _SLOTS) + 1, dtype=np.uint64)).astype(np.int32)
     w = {"words": normal(len(keys) + 1, WORD_DIM, by=0.05), "chars": normal(1 << GRAM_BITS, CHAR_DIM, by=0.05), "wx": normal(WORD_DIM + CHAR_DIM, 6 * STATES), "b": np.zeros(6 * STATES, np.float32), "u": normal(2, STATES, 3 * STATES, by=0.2), "att": normal(2 * STATES, 2 * STATES), "att_v": normal(2 * STATES), "out": normal(2 * STATES), "bias": np.zeros(1, np.float32)}
     w["words"][1:, 0] = np.clip(odds, -3, 3)
     grams, gram_odds = _log_odds([g for _, g in per_text], text_y, 3)
     w["chars"][grams.astype(np.int64), 0] = np.clip(gram_odds, -3, 3)
-    net = Network(known, row, w)
+    net = Network(keys, first, w)
     if len(set(text_y.tolist())) < 2:
         rate = float(y.mean()) if len(y) else 0.1
         net.scale = (0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
@@ -235,11 +237,13 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, rou
         top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
         clean = np.flatnonzero(text_y[owner] == 0)
         pick = np.concatenate([top, rng.choice(clean, min(len(clean), len(top)), replace=False)])
-        for _ in range(2):
+        batch_size = min(128, max(16, len(pick) // 8))
+        passes = max(2, -(-STEPS * batch_size // (rounds * len(pick))))  # few texts are gone through more often
+        for _ in range(passes):
             rng.shuffle(pick)
-            for a in range(0, len(pick), 128):
+            for a in range(0, len(pick), batch_size):
                 tick += 1
-                p = pick[a : a + 128]
+                p = pick[a : a + batch_size]
                 at = np.minimum(starts[p][None] + np.arange(WINDOW)[:, None], len(words.key) - 1)
                 inner, back = np.unique(at, return_inverse=True)
                 size = gram_edge[inner + 1] - gram_edge[inner]
@@ -288,10 +292,19 @@ def _rescale(net: Network, texts: list[bytes], y: np.ndarray, prior: float | Non
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 800) -> Network:
     """Train on about ``per_class`` whole texts of each label (the bound of the sample); null labels are left out."""
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(id_col, text_col, label_col)
+    return trained(*labelled_sample(rows, text_col, label_col, id_col, per_class, train))
+
+
+def labelled_sample(rows: DataFrame, text_col: str, label_col: str, id_col: str, per_class: int, learn) -> tuple[DataFrame, object]:
+    """A bounded sample of labelled rows, and the function of its rows that learns with the share of label 1 in all rows."""
     counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
-    sample = bounded_sample(rows, [label_col], id_col, per_class)
-    got = sorted((r[0] or 0, r[2], (r[1] or "").encode()) for r in sample.collect())
-    return train([t for _, _, t in got], [int(k) for _, k, _ in got], counts.get(1, 0) / max(sum(counts.values()), 1) if counts else None)
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else None
+
+    def run(got: list[tuple]) -> object:
+        got = sorted((i is None, i or 0, k, (t or "").encode()) for i, t, k in got)
+        return learn([t for *_, t in got], [int(k) for _, _, k, _ in got], prior)
+
+    return bounded_sample(rows, [label_col], text_col, id_col, per_class), run
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
@@ -307,7 +320,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str]
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Texts with a label; where an id repeats in the labels its lowest label counts, and repeated documents count once."""
+    """Every row of documents whose id has a label; where an id repeats in the labels its lowest label counts."""
     once = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
     return docs.select("doc_id", "text").join(once, "doc_id")
 
