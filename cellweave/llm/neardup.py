@@ -4,15 +4,19 @@ A document's set is its distinct word shingles. Documents with equal sets form a
 linked when the Jaccard similarity of their sets reaches the threshold. In each of ``TREES``
 independent trees a class branches, level by level, on the token of its set that is lowest under a
 hash chosen by the path so far, so two classes stay together down a level with a chance equal to
-their similarity. The first node looked at is three levels deep. There every class is held against
-the node's pivot. Where the confirmed links leave a node in more than one component, a small node is
-compared exhaustively across its components and a large one branches on. A large node that the links
-found so far still leave in more than one component is compared exhaustively too, block by block, on
-parity bitmaps of the sets: the bits in which two differ are at most the tokens in which the sets do,
-so no pair at the threshold is passed over. Every link is confirmed on full sets. Trees miss a pair of
-similarity 0.8 at level three with a chance of (1 - 0.8 ** 3) ** 16, about 1e-5, in nodes of any size.
-
-Rows that share a document id are one document. Rows without an id link with nothing.
+their similarity. The first nodes looked at are ``DEPTH`` levels deep. There every class is held
+against a pivot of its node, which joins most groups of copies.
+
+Of the nodes that the confirmed links still leave in more than one component, small ones are compared
+exhaustively across their components and large ones branch on: ``STEP`` levels deeper, ``FORKS`` times
+over, so that a pair at the threshold goes on with a chance of 0.87 a step while others thin out. Where
+that does not thin a node out, as its members resemble each other nearly as much as the threshold asks,
+it is compared exhaustively instead, block by block, on parity bitmaps of the sets: the bits in which
+two differ are at most the tokens in which the sets do, so no pair at the threshold is passed over.
+Recursion ends when no large node is left; there is no limit on depth, members or candidates.
+
+Every link is confirmed on full sets. A pair of similarity 0.8 is missed with a chance of
+(1 - 0.8 ** 3) ** 16, about 1e-5, in small and in dense nodes, and of less than 1e-3 further down.
 """
 
 from __future__ import annotations
@@ -22,13 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..operators.graph import components
 from .common import settle, texts_of
 
-TREES, LEVELS, SMALL = 16, (3, 5, 7), 24
+TREES, DEPTH, SMALL = 16, 3, 24
+STEP, FORKS = 2, 2
+#: A large node whose pairs stay together more often than this in a step is dense: it is compared, not branched.
+DENSE = 0.36
 BLOCK = 1024
 _SEEDS = np.random.default_rng(41).integers(1, 2**62, TREES).astype(np.uint64)
+_FORK_SEEDS = np.random.default_rng(43).integers(1, 2**62, FORKS).astype(np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -48,22 +57,30 @@ def shingle_set(text: bytes, words_each: int = 2) -> np.ndarray:
     return np.unique(code * _MORE)
 
 
-def paths(tokens: np.ndarray) -> np.ndarray:
-    """[level looked at, tree]: the node that the set reaches there."""
-    out = np.empty((len(LEVELS), TREES), np.uint64)
-    state = _SEEDS.copy()
-    for level in range(1, LEVELS[-1] + 1):
+def deeper(tokens: np.ndarray, nodes: np.ndarray, levels: int) -> np.ndarray:
+    """The nodes that a set reaches ``levels`` below each of these: at every level it follows the token lowest there."""
+    if nodes.size > 1 and nodes.size * tokens.size > 4_000_000:  # very long texts: a part of the nodes at a time
+        half = nodes.size // 2
+        return np.concatenate([deeper(tokens, nodes[:half], levels), deeper(tokens, nodes[half:], levels)])
+    state = nodes.copy()
+    for _ in range(levels):
         order = (tokens[None, :] ^ state[:, None]) * _MIX
         order ^= order >> np.uint64(31)
         chosen = tokens[(order * _MORE).argmin(axis=1)]
         state = ((state ^ (state >> np.uint64(30))) * _MORE + chosen) * _MIX
-        if level in LEVELS:
-            out[LEVELS.index(level)] = state
-    return out
+    return state
 
 
-def _features(docs: DataFrame, text_col: str, id_col: str, words_each: int) -> DataFrame:
-    schema = "doc long, n long, lo long, hi long, k0 array<long>, k1 array<long>, k2 array<long>"
+def forked(tokens: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """[node, fork]: the nodes ``STEP`` levels below, along ``FORKS`` independent paths."""
+    return np.stack([deeper(tokens, (nodes ^ seed) * _MIX, STEP) for seed in _FORK_SEEDS], axis=1)
+
+
+def _features(docs: DataFrame, text_col: str, id_col: str, words_each: int, carry: list[str]) -> DataFrame:
+    """Carried columns, doc, n, the digest (lo, hi) of the set, text hash and the first nodes of every row."""
+    source = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__text"))
+    kept = source.schema.fields[:-1]
+    schema = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("n", "lo", "hi")), T.StructField("nodes", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,27 +89,42 @@ def _features(docs: DataFrame, text_col: str, id_col: str, words_each: int) -> D
                 tokens = shingle_set(text, words_each)
                 sizes.append(len(tokens))
                 digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                keys.append(paths(tokens) if len(tokens) else np.zeros((len(LEVELS), TREES), np.uint64))
+                keys.append(deeper(tokens, _SEEDS, DEPTH) if len(tokens) else np.zeros(TREES, np.uint64))
             pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            k = np.array(keys).view(np.int64).reshape(-1, len(LEVELS), TREES)
             at = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * TREES)
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(k[:, i]).ravel())) for i in range(len(LEVELS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), *lists], names=["doc", "n", "lo", "hi", "k0", "k1", "k2"])
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            nodes = pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sizes, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), nodes], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
+def _sets(texts: DataFrame, words_each: int, made, kind: str) -> DataFrame:
+    """id and what ``made`` makes of the set (and the row's ``nodes``, where there are any) of each text of (id, lo, hi, __text).
+
+    A text whose set has another digest is not the class's and is left out.
+    """
+    others = [c for c in texts.columns if c not in ("id", "lo", "hi", "__text")]
 
-def _sets(docs: DataFrame, words_each: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for batch in batches:
-            texts, ids = texts_of(batch, "__text"), batch.column(0)
-            for a in range(0, len(texts), 1000):
-                tokens = [shingle_set(t, words_each).view(np.int64) for t in texts[a : a + 1000]]
-                at = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
-                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids[a : a + 1000], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "tokens"])
+            at = at or {n: k for k, n in enumerate(batch.schema.names)}
+            ids, lo, hi = (batch.column(at[c]).to_pylist() for c in ("id", "lo", "hi"))
+            extra = [batch.column(at[c]).to_pylist() for c in others]
+            out_ids, out = [], []
+            for k, text in enumerate(texts_of(batch, "__text")):
+                tokens = shingle_set(text, words_each)
+                if xxhash.xxh3_128_digest(tokens.tobytes()) == lo[k].to_bytes(8, "little", signed=True) + hi[k].to_bytes(8, "little", signed=True):
+                    out_ids.append(ids[k])
+                    out.append(made(tokens, *(e[k] for e in extra)))
+                if len(out) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, arrow)], names=["id", "value"])
+                    out_ids, out = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, arrow)], names=["id", "value"])
 
-    return docs.mapInArrow(run, "id long, tokens array<long>")
+    arrow = {"array<long>": pa.list_(pa.int64()), "binary": pa.binary(), "array<array<long>>": pa.list_(pa.list_(pa.int64()))}[kind]
+    return texts.mapInArrow(run, f"id long, value {kind}")
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -102,17 +134,6 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _bitmaps(docs: DataFrame, words_each: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = texts_of(batch, "__text"), batch.column(0)
-            for a in range(0, len(texts), 1000):
-                bits = [bitmap(shingle_set(t, words_each)).tobytes() for t in texts[a : a + 1000]]
-                yield pa.RecordBatch.from_arrays([ids[a : a + 1000], pa.array(bits, pa.binary())], names=["id", "bits"])
-
-    return docs.mapInArrow(run, "id long, bits binary")
-
-
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     while bits.shape[1] > width:
         half = bits.shape[1] // 2
@@ -120,140 +141,174 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def _block_pairs(rows: DataFrame, bitmaps: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs (a, b) of a node between its components that may reach the threshold, by blocks of about ``BLOCK`` members."""
+def _slack(both: np.ndarray, width: int) -> np.ndarray:
+    """Differing bits that collisions in a bitmap of ``width`` words may hide, but for a chance of about 1e-12."""
+    hidden = (0.12 * both) ** 2 / (64 * width)
+    return 4 * (hidden + 8 * np.sqrt(hidden) + 12)
+
+
+def block_candidates(block: pa.Table, percent: int) -> pa.Table:
+    """Pairs (a, b) of one block of a node that may reach the threshold, between different components.
+
+    Of two components all pairs close to the threshold are given, and of those clearly beyond it the
+    closest one alone: it joins the two, so the others add nothing.
+    """
+    i, j, own, ids, n, component = (block.column(c).to_numpy() for c in ("i", "j", "own", "id", "n", "component"))
+    by_width: dict[int, tuple[list[int], list[bytes]]] = {}
+    for k, b in enumerate(block.column("bits").to_pylist()):
+        at, parts = by_width.setdefault(len(b) // 8, ([], []))
+        at.append(k)
+        parts.append(b)
+    groups = {w: (np.array(at), np.frombuffer(b"".join(parts), np.uint64).reshape(-1, w)) for w, (at, parts) in by_width.items()}
+    found: list[tuple[np.ndarray, ...]] = []
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for w1, (at1, bits1) in groups.items():
+        for w2, (at2, bits2) in groups.items():
+            left, right = own[at1] == i[at1], own[at2] == j[at2]
+            x, y = at1[left], at2[right]
+            width = min(w1, w2)
+            one, two = _folded(bits1[left], width), _folded(bits2[right], width)
+            for k, row in zip(x.tolist(), one, strict=True):
+                near = (100 * np.minimum(n[k], n[y]) >= percent * np.maximum(n[k], n[y])) & (component[k] != component[y])
+                if i[k] == j[k]:
+                    near &= ids[k] < ids[y]
+                near = np.flatnonzero(near)
+                both = n[k] + n[y[near]]
+                apart = np.bitwise_count(two[near] ^ row).sum(axis=1, dtype=np.int64)
+                spare = (100 - percent) * both - (100 + percent) * apart  # from 0 on the pair may reach the threshold
+                hit = spare >= 0
+                if not hit.any():
+                    continue
+                other, spare = y[near[hit]], spare[hit] / (100 + percent)
+                close = spare < _slack(both[hit], width)
+                found.append((np.minimum(ids[k], ids[other[close]]), np.maximum(ids[k], ids[other[close]])))
+                for m, s in zip(other[~close].tolist(), spare[~close].tolist(), strict=True):
+                    key = (min(component[k], component[m]), max(component[k], component[m]))
+                    if key not in best or s > best[key][0]:
+                        best[key] = (s, min(ids[k], ids[m]), max(ids[k], ids[m]))
+    a = np.concatenate([np.array([b[1] for b in best.values()], np.int64), *(f[0] for f in found)])
+    b = np.concatenate([np.array([b[2] for b in best.values()], np.int64), *(f[1] for f in found)])
+    return pa.table({"a": a, "b": b})
+
+
+def _block_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each node between its components that may reach the threshold, by blocks of about ``BLOCK`` members."""
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    dealt = rows.select("id", "n", "component", key, F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    held = dealt.join(bitmaps, "id").select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "bits")
-
-    def run(block: pa.Table) -> pa.Table:
-        i, j, own, ids, n, component = (block.column(c).to_numpy() for c in ("i", "j", "own", "id", "n", "component"))
-        by_width: dict[int, tuple[list[int], list[bytes]]] = {}
-        for k, b in enumerate(block.column("bits").to_pylist()):
-            at, parts = by_width.setdefault(len(b) // 8, ([], []))
-            at.append(k)
-            parts.append(b)
-        groups = {w: (np.array(at), np.frombuffer(b"".join(parts), np.uint64).reshape(-1, w)) for w, (at, parts) in by_width.items()}
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for w1, (at1, bits1) in groups.items():
-            for w2, (at2, bits2) in groups.items():
-                left, right = own[at1] == i[at1], own[at2] == j[at2]
-                x, y = at1[left], at2[right]
-                one, two = _folded(bits1[left], min(w1, w2)), _folded(bits2[right], min(w1, w2))
-                for k, row in zip(x.tolist(), one, strict=True):
-                    near = (100 * np.minimum(n[k], n[y]) >= percent * np.maximum(n[k], n[y])) & (component[k] != component[y])
-                    if i[k] == j[k]:
-                        near &= ids[k] < ids[y]
-                    near = np.flatnonzero(near)
-                    both = n[k] + n[y[near]]
-                    apart = np.bitwise_count(two[near] ^ row).sum(axis=1, dtype=np.int64)
-                    hit = ids[y[near[(100 + percent) * (both - apart) >= 2 * percent * both]]]
-                    found_a.append(np.minimum(ids[k], hit))
-                    found_b.append(np.maximum(ids[k], hit))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-
-    return held.groupBy(key, "i", "j").applyInArrow(run, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in the links (a, b), the component named by its lowest id.
-
-    Large-star and small-star rounds alternate until nothing moves: a number of rounds that grows with
-    the logarithm of the longest chain. Each round ends in a checkpoint; only counts reach the driver.
+    dealt = rows.select("id", "n", "component", "node", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    held = dealt.join(bitmaps, "id").select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", F.col("value").alias("bits"))
+    return held.groupBy("node", "i", "j").applyInArrow(lambda block: block_candidates(block, percent), "a long, b long")
+
+
+class _Join:
+    """The classes of one table, and what is known of their links."""
+
+    def __init__(self, docs: DataFrame, text_col: str, id_col: str, words_each: int, percent: int, carry: list[str]):
+        self.words_each, self.percent = words_each, percent
+        self.features = settle(_features(docs, text_col, id_col, words_each, carry))
+        rep = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th"))
+        grouped = self.features.where("n > 0").groupBy("lo", "hi").agg(F.any_value("n").alias("n"), F.any_value("nodes").alias("nodes"), rep.alias("rep"))
+        # ids are given once: the table is settled, and whatever comes later reads it
+        self.classes = settle(grouped.select(F.monotonically_increasing_id().alias("id"), "lo", "hi", "n", F.col("rep.doc").alias("doc"), F.xxhash64("rep.doc", "rep.th").alias("rep"), "nodes"))
+        self.texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("rep"), F.col(text_col).alias("__text"))
+        self.links = None
+
+    def of_classes(self, ids: DataFrame, made, kind: str) -> DataFrame:
+        """(id, value): what ``made`` makes of the sets of these classes; ``ids`` may carry more columns for it."""
+        wanted = settle(self.classes.select("id", "lo", "hi", "rep").join(ids, "id"))
+        rows = self.texts.join(wanted, "rep").drop("rep")
+        # rows alike in id and text are one
+        once = rows.groupBy("id").agg(*(F.any_value(c).alias(c) for c in rows.columns if c != "id"))
+        return settle(_sets(once.select("id", "lo", "hi", "__text", *(c for c in ids.columns if c != "id")), self.words_each, made, kind))
+
+    def near_size(self) -> Column:
+        return 100 * F.least("n", "n2") >= self.percent * F.greatest("n", "n2")
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Add those of the pairs (a, b) whose full sets reach the threshold, and give the new (id, component)."""
+        pairs = settle(pairs.distinct())
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = self.of_classes(ids, lambda tokens: tokens.view(np.int64), "array<long>")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("value").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("value").alias("tb")), "b")
+        shared = F.size(F.array_intersect("ta", "tb"))
+        good = settle(both.where(100 * shared >= self.percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
+        self.links = good if self.links is None else self.links.union(good)
+        return settle(components(self.links, hubs=True).withColumnRenamed("node", "id"))
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """Rows (id, n, node) of nodes with company, with the node's count and a pivot picked by hash.
+
+    Counts are settled, so the join is one of plain exchanges and a hot node can be split.
     """
-    edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = settle(small.where("u != v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if state == before:
-            break
-        before = state
-    lows = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    return lows.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().join(lows.select("id"), "id", "left_anti"))
+    pick = F.min(F.struct(F.xxhash64("id", "node").alias("h"), F.col("id").alias("pivot"), F.col("n").alias("n2")))
+    nodes = settle(rows.groupBy("node").agg(F.count("*").alias("c"), pick.alias("p")).where("c > 1").select("node", "c", "p.pivot", "p.n2"))
+    return settle(rows.join(nodes, "node"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the threshold."""
-    pairs = settle(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    wanted = texts.join(ids, "doc", "left_semi")
-    sets = settle(_sets(wanted, words_each))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return settle(both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
+def unsettled(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows of nodes that still hold more than one component, with their component."""
+    named = settle(rows.join(of, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    split = settle(named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("node"))
+    return settle(named.join(split, "node", "left_semi"))
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words_each: int = 2, percent: int = 80) -> DataFrame:
-    """doc, n (set size) and component of every row.
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words_each: int = 2, percent: int = 80, carry: list[str] | None = None) -> DataFrame:
+    """doc, n (set size), component and group of every row, after the columns named in ``carry``.
 
-    A set without shingles, and a row without id, is its own component. Repeated rows get the same one.
+    The component is the lowest id that links reach; the group is a number that its rows share, null for
+    a set without shingles, which links with nothing. Every row is a document of its own: rows that repeat an id
+    with other texts link as their texts do, rows without an id too (their component is null where no
+    linked row has one). Null and empty texts have an empty set. An empty table gives no rows.
     """
-    features = settle(_features(docs, text_col, id_col, words_each))
-    linkable = features.where("n > 0 AND doc IS NOT NULL")
-    classes = settle(linkable.groupBy("lo", "hi").agg(F.min(F.struct("doc", "n", "k0", "k1", "k2")).alias("x")).select("lo", "hi", "x.*"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("__text"))
-    nodes = classes.select(F.col("doc").alias("id"), "n", F.inline(F.arrays_zip("k0", "k1", "k2")))
-    near_size = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-
-    def members(rows: DataFrame, key: str) -> DataFrame:
-        """Rows of nodes with company, with the node's count and pivot."""
-        node = rows.groupBy(key).agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("pivot")).where("c > 1")
-        return rows.join(node.select(key, "c", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("n2")), key)
-
-    def stars(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col("id") != F.col("pivot")).where(near_size).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-
-    top = settle(members(nodes, "k0"))
-    links = _confirmed(stars(top).distinct(), texts, words_each, percent)
-    of = components(links)
-
-    def unsettled(rows: DataFrame, key: str) -> DataFrame:
-        """Members of nodes that still hold more than one component."""
-        split = rows.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select(key)
-        return rows.join(split, key, "left_semi")
-
-    def across(rows: DataFrame, key: str) -> DataFrame:
-        """All pairs of a small node between its components."""
+    carry = carry or []
+    join = _Join(docs, text_col, id_col, words_each, percent, carry)
+    top = members(join.classes.select("id", "n", F.explode("nodes").alias("node")))
+    stars = top.where(F.col("id") != F.col("pivot")).where(join.near_size()).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    of = join.confirm(stars)
+    rows = top.drop("pivot", "n2")
+    while not (rows := unsettled(rows, of)).isEmpty():
         small = rows.where(F.col("c") <= SMALL)
-        other = small.select(key, F.col("id").alias("id2"), F.col("n").alias("m2"), F.col("component").alias("component2"))
-        pairs = small.drop("n2").join(other.withColumnRenamed("m2", "n2"), key).where("id < id2 AND component != component2").where(near_size)
-        return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-
-    open_ = settle(unsettled(top.join(of, "id", "left").withColumn("component", F.coalesce("component", "id")), "k0"))
-    candidates = [across(open_, "k0")]
-    for key in ("k1", "k2"):
-        rest = members(open_.where(F.col("c") > SMALL).select("id", "n", "k0", "k1", "k2", "component"), key)
-        candidates.append(stars(rest))
-        open_ = settle(unsettled(rest, key))
-        candidates.append(across(open_, key))
-    # what is still together seven levels down shares most of its set: a second pivot holds it together
-    far = open_.where(F.col("c") > SMALL).select("id", "n", "k2")
-    second = far.groupBy("k2").agg(F.max(F.struct("id", "n")).alias("p")).select("k2", F.col("p.id").alias("pivot"), F.col("p.n").alias("n2"))
-    candidates.append(stars(far.join(second, "k2")))
-    more = candidates[0]
-    for c in candidates[1:]:
-        more = more.union(c)
-    links = links.union(_confirmed(more.distinct(), texts, words_each, percent))
-    of = components(links)
-    # large nodes that are still in parts: all pairs between the parts
-    large = top.where(F.col("c") > SMALL).join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    large = settle(unsettled(large, "k0").select("id", "n", "k0", "c", "component"))
-    if not large.isEmpty():
-        wanted = texts.join(large.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-        more = _block_pairs(large, settle(_bitmaps(wanted, words_each)), "k0", percent)
-        of = components(links.union(_confirmed(more.distinct(), texts, words_each, percent)))
-    named = classes.select("lo", "hi", F.col("doc").alias("id")).join(of, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component"))
-    linked = features.select("doc", "n", "lo", "hi").where("n > 0 AND doc IS NOT NULL").join(named, ["lo", "hi"]).select("doc", "n", "component")
-    alone = features.where("n = 0 OR doc IS NULL").select("doc", "n", F.col("doc").alias("component"))
+        other = small.select("node", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+        pairs = small.join(other, "node").where("id < id2 AND component != component2").where(join.near_size()).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        large, below = rows.where(F.col("c") > SMALL), None
+        if not large.isEmpty():
+            dense, below = _branch(join, large)
+            if not dense.isEmpty():
+                bitmaps = join.of_classes(dense.select("id").distinct(), lambda tokens: bitmap(tokens).tobytes(), "binary")
+                pairs = pairs.union(_block_pairs(dense, bitmaps, percent))
+        of = join.confirm(pairs)
+        if below is None:
+            break
+        rows = members(below).drop("pivot", "n2")
+    lowest = join.classes.join(of, "id", "left").select("lo", "hi", "doc", F.coalesce("component", "id").alias("grp"))
+    names = settle(lowest.groupBy("grp").agg(F.min("doc").alias("component")))
+    named = settle(lowest.join(names, "grp").select("lo", "hi", "grp", "component"))
+    held = [F.col(f"c{k}").alias(c) for k, c in enumerate(carry)]
+    linked = join.features.where("n > 0").join(named, ["lo", "hi"]).select(*held, "doc", "n", "component", "grp")
+    alone = join.features.where("n = 0").select(*held, "doc", "n", F.col("doc").alias("component"), F.lit(None).cast("long").alias("grp"))
     return linked.union(alone)
 
 
+def _branch(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of dense large nodes, and the rows (id, n, node) of the others one step further down."""
+    paths = large.groupBy("id").agg(F.collect_set("node").alias("nodes"))  # nodes of one class: a few a tree
+
+    def step(tokens: np.ndarray, nodes: list[int]) -> list[list[int]]:
+        at = np.array(nodes, np.int64)
+        below = forked(tokens, at.view(np.uint64)).view(np.int64)
+        return [[int(a), *b] for a, b in zip(nodes, below.tolist(), strict=True)]
+
+    moved = join.of_classes(paths, step, "array<array<long>>").select("id", F.explode("value").alias("v"))
+    edges = settle(moved.select("id", F.col("v")[0].alias("node"), F.explode(F.slice("v", 2, FORKS)).alias("below")))
+    together = edges.groupBy("node", "below").count().groupBy("node").agg(F.sum(F.col("count").cast("double") ** 2).alias("pairs"))
+    sizes = large.groupBy("node").agg(F.first("c").alias("c"))
+    thick = settle(sizes.join(together, "node").where(F.col("pairs") > DENSE * FORKS * F.col("c") * F.col("c")).select("node"))
+    thin = settle(edges.join(thick, "node", "left_anti"))
+    rest = thin.join(join.classes.select("id", "n"), "id").select("id", "n", F.col("below").alias("node"))
+    return settle(large.join(thick, "node", "left_semi")), rest
+
+
 def query(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; see ``near_duplicates`` for nulls, repeats and empty texts."""
     out = near_duplicates(docs.select("doc_id", "text"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))

@@ -74,14 +74,11 @@ def test_code_lengths_equal_a_plain_ppm():
             for i in range(3, len(s)):
                 for order in range(4):
                     counts[order, tuple(s[i - order : i])][s[i]] += 1
-        pooled = Counter(tuple([0, 0, 0, *(int(symbols[b]) for b in t)][i - 3 : i]) for v in texts.values() for t in v for i in range(3, len(t) + 3))
         total, s = 0.0, [0, 0, 0, *(int(symbols[b]) for b in probe)]
         for i in range(3, len(s)):
             chance, excluded = 1.0, set()
             for order in (3, 2, 1, 0):
                 context = tuple(s[i - order : i])
-                if order == 3 and pooled[context] < 2:
-                    continue
                 c = {x: n for x, n in counts[order, context].items() if x not in excluded}
                 if not c:
                     continue
@@ -192,6 +189,46 @@ def test_near_duplicates_in_a_template_family(spark):
     assert got == {k: k - k % 2 for k in range(1200)}
 
 
+@pytest.mark.parametrize(("length", "changed"), [(300, 10), (200, 7)])
+def test_near_duplicates_in_a_dense_family(spark, length, changed):
+    rng = np.random.default_rng(length)
+    base = [f"w{k}" for k in range(length)]
+    texts = []
+    for k in range(400):
+        own = list(base)
+        for at in rng.choice(length, changed, replace=False):
+            own[at] = f"x{k}y{at}"
+        texts.append((k, " ".join(own)))
+    want = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert len({c for _, c in want.values()}) > 20 and got == want
+
+
+def test_near_duplicates_below_large_nodes_of_loose_texts(spark, monkeypatch):
+    # every text shares a common half: nodes are large and thin out, pairs of variants must stay together
+    rng = np.random.default_rng(3)
+    common = [f"c{k}" for k in range(40)]
+    texts = []
+    for k in range(600):
+        own = [f"o{k // 2}x{j}" for j in range(60)]
+        if k % 2:
+            for at in rng.choice(60, 3, replace=False):
+                own[at] = f"z{k}y{at}"
+        texts.append((k, " ".join(common + own)))
+    branched = []
+    real = neardup._branch
+    monkeypatch.setattr(neardup, "_branch", lambda join, large: branched.append(1) or real(join, large))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert branched and got == brute_components(texts)
+
+
+def test_rows_that_repeat_an_id_link_by_their_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a), (1, b), (2, b + " more"), (None, a + " more"), (None, "alone and apart"), (5, "alone and apart too")]
+    got = sorted(((r.doc, r.n, r.component) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 49, 1), (1, 49, 1), (2, 50, 1), (None, 50, 1), (None, 2, None), (5, 3, 5)], key=str)
+
+
 def test_bitmaps_bound_the_difference_of_sets():
     rng = np.random.default_rng(5)
     for n in (1, 3, 100, 130, 5000):
