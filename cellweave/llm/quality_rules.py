@@ -1,9 +1,13 @@
 """Quality rules: base counts, and Jensen-Shannon distance to language references.
 
-A language's reference is the histogram of character classes and of common words over all its
-documents. A word is common in a language if it makes at least ``COMMON`` of the language's words,
+A language's reference is the histogram of character classes (of code points) and of common words over
+all its documents. A word is common in a language if it makes at least ``COMMON`` of the language's words,
 so there are at most 1 / COMMON of them. A text is held against every language and its nearest one
-counts; shorter texts than the guards are not judged by distance.
+counts: the greater of the distance of characters and WORD_SHARE times that of words, as words of a short
+text are few and far from any reference. Shorter texts than the guards are not judged by distance.
+
+Null and empty texts count as texts without words and fail the base rules; with no language in the whole
+table there is no reference and distance is 0. Rows are judged one by one, so repeats and ids play no part.
 """
 
 from __future__ import annotations
@@ -19,12 +23,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import annotate, joined, texts_of
 
 COMMON = 0.004
-MIN_WORDS, MIN_CHARS, MAX_DISTANCE = 20, 100, 0.3
+#: Guards, the greatest distance that is kept, and what the distance of words counts against that of characters.
+MIN_WORDS, MIN_CHARS, MAX_DISTANCE, WORD_SHARE = 20, 100, 0.3, 0.6
 SYMBOLS = b"#*$%&|<>"
 #: Character classes of the histogram.
-CLASSES = ("control", "lower", "upper", "digit", "space", "line", "stop", "symbol", "bang", "other", "beyond")
+CLASSES = ("control", "lower", "upper", "digit", "space", "line", "stop", "symbol", "bang", "other", "latin", "greek", "cyrillic", "semitic", "indic", "east", "beyond")
+_NONE = len(CLASSES)  # bytes that begin no code point
 _CLASS = np.full(256, 9, np.uint8)
-for _k, _chars in ((0, bytes(range(32))), (1, bytes(range(97, 123))), (2, bytes(range(65, 91))), (3, b"0123456789"), (4, b" \t"), (5, b"\n\r"), (6, b".,;:'\"-()"), (7, SYMBOLS), (8, b"!?"), (10, bytes(range(128, 256)))):
+for _k, _chars in (
+    (0, bytes(range(32))), (1, bytes(range(97, 123))), (2, bytes(range(65, 91))), (3, b"0123456789"), (4, b" \t"), (5, b"\n\r"), (6, b".,;:'\"-()"), (7, SYMBOLS), (8, b"!?"),
+    (_NONE, bytes(range(0x80, 0xC0))), (10, bytes(range(0xC0, 0xCE))), (11, b"\xce\xcf"), (12, bytes(range(0xD0, 0xD6))), (13, bytes(range(0xD6, 0xE0))), (14, b"\xe0\xe1"), (15, bytes(range(0xE2, 0xF0))), (16, bytes(range(0xF0, 256))),
+):
     _CLASS[list(_chars)] = _k
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -61,7 +70,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch, "__text"), strict=True):
-                own = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=len(CLASSES))
+                own = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=_NONE + 1)[:_NONE]
                 classes[lang] = classes[lang] + own if lang in classes else own
                 words.setdefault(lang, Counter()).update(text.lower().split())
             if sum(map(len, words.values())) > 500_000:
@@ -72,7 +81,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     summed = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     total = summed.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     share = (F.col("n") / F.col("total")).alias("share")
-    bins = summed.join(F.broadcast(total), ["lang", "kind"]).where((F.col("kind") == "class") | (F.col("n") >= COMMON * F.col("total"))).select("lang", "kind", "key", share).where(F.col("share") > 0).collect()
+    bins = summed.join(total, ["lang", "kind"]).where((F.col("kind") == "class") | (F.col("n") >= COMMON * F.col("total"))).select("lang", "kind", "key", share).where(F.col("share") > 0).collect()
     languages = sorted({r["lang"] for r in bins})
     at = {k: i for i, k in enumerate(languages)}
     common = sorted({_plain(bytes(r["key"])) for r in bins if r["kind"] == "word"} - {b""})
@@ -109,10 +118,13 @@ def repeated(ids: np.ndarray, text: np.ndarray, size: int = 8) -> np.ndarray:
     while width < size:
         code = (code[:-width] ^ (code[:-width] >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + code[width:]
         width *= 2
-    code = code + text[: len(code)].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    at = np.flatnonzero(text[: n - size + 1] == text[size - 1 :])  # windows inside one text
+    if not len(at):
+        return out
+    code = code[at] + text[at].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
     order = np.argsort(code)
     twin = np.flatnonzero(code[order[1:]] == code[order[:-1]])
-    likely = np.unique(text[order[twin]])
+    likely = np.unique(text[at[order[twin]]])
     if not len(likely):
         return out
     held = np.isin(text, likely)
@@ -155,7 +167,7 @@ def measure(texts: list[bytes], ref: References) -> list:
     repeats = np.bincount(owner, repeated(flat, owner), len(texts)).astype(np.int64)
     failed = (n_words < 20) | (100 * repeats > 30 * n_words)
     # histograms against the references
-    hist = np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets)) * len(CLASSES) + _CLASS[data], minlength=len(texts) * len(CLASSES)).reshape(-1, len(CLASSES))
+    hist = np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets)) * (_NONE + 1) + _CLASS[data], minlength=len(texts) * (_NONE + 1)).reshape(-1, _NONE + 1)[:, :_NONE]
     column = np.fromiter((ref.words.get(_plain(w), len(ref.words)) for w in ids), np.int64, len(ids))
     wide = len(ref.words) + 1
     words = np.bincount(owner * wide + column[flat], minlength=len(texts) * wide).reshape(-1, wide) if len(flat) else np.zeros((len(texts), wide))
@@ -163,7 +175,7 @@ def measure(texts: list[bytes], ref: References) -> list:
     judged = (n_words >= MIN_WORDS) & (hist.sum(axis=1) >= MIN_CHARS)
     if ref.languages and judged.any():
         norm = lambda x: x / np.maximum(x.sum(axis=1, keepdims=True), 1)
-        both = np.maximum(jensen_shannon(norm(hist[judged]), ref.classes), jensen_shannon(norm(words[judged]), ref.word_shares) * 0.6)
+        both = np.maximum(jensen_shannon(norm(hist[judged]), ref.classes), jensen_shannon(norm(words[judged]), ref.word_shares) * WORD_SHARE)
         distance[judged] = both.min(axis=1)
     return [n_words, word_chars, n_symbols, dup_lines, repeats, failed, ~failed & (distance <= MAX_DISTANCE), distance]
 
@@ -178,5 +190,6 @@ def judge(docs: DataFrame, ref: References, text_col: str = "text", keep: list[s
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Base counts, base_failed, kept and js_distance of every row, against references of the whole table."""
     ref = references(docs.select("text", "lang"))
     return judge(docs.select("doc_id", "text"), ref, keep=["doc_id"])
