@@ -11,7 +11,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import WORD, settle
@@ -61,38 +62,45 @@ def pivot(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.
 
 
 def _round(level: int, seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "id", "size"], kind="stable", na_position="last").reset_index(drop=True)
-        key = f"{pdf['source'].iloc[0]}|{pdf['bucket'].iloc[0]}|{level}|{seed}"
-        open_ = np.flatnonzero((pdf["chance"] > 0) & (pdf["chance"] < 1) & (pdf["size"] > 0))
-        chance = pdf["chance"].to_numpy(np.float64).copy()
+    """Pivot the open chances of one bucket of a source. Arrow throughout, so ids keep their type beside nulls."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("turn", "ascending"), ("size", "ascending")]))
+        key = f"{rows['source'][0].as_py()}|{rows['bucket'][0].as_py()}|{level}|{seed}"
+        chance, size = rows["chance"].to_numpy().copy(), rows["size"].to_numpy().astype(np.float64)
+        open_ = np.flatnonzero((chance > 0) & (chance < 1) & (size > 0))
         if len(open_):
-            chance[open_] = pivot(chance[open_], pdf["size"].to_numpy(np.float64)[open_], np.random.default_rng(zlib.crc32(key.encode())))
-        return pdf.assign(chance=chance)
+            chance[open_] = pivot(chance[open_], size[open_], np.random.default_rng(zlib.crc32(key.encode())))
+        return rows.set_column(rows.schema.get_field_index("chance"), "chance", pa.array(chance))
 
     return run
 
 
-def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
-    """id, source, size, source_size, target and copies (0 to 3) of every row. Null text has size 0 and no copy.
+def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), seed: int = 1, carry: list[str] | None = None) -> DataFrame:
+    """id, source, size, source_size, target and copies (0 to 3) of every row, and the columns named in ``carry``.
 
-    The numbers of sources and buckets reach the driver, never rows. Reruns agree: buckets, order and
-    draws are hashes of the ids. Rows with the same id and size are alike and may be rounded differently.
+    Null text has size 0 and no copy. A null source is a source of its own, the last. The numbers of
+    sources and buckets reach the driver, never rows. Reruns over the same files agree: buckets, order and
+    draws are hashes of id and text. Rows without an id are dealt by their place in the table too, so
+    any number of them, all alike even, spreads over the buckets. An empty table gives no rows.
     """
+    carry = carry or []
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    sized = settle(docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("hash")))
     totals = {r["source"]: (r["words"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
     target = targets({s: w for s, (w, _) in totals.items()}, weights)
     rows = [(s, w, target[s], target[s] / w if w else 0.0, -(-n // BUCKET)) for s, (w, n) in totals.items()]
     spark = docs.sparkSession
     plan = spark.createDataFrame(rows, "of string, source_size long, target double, rate double, buckets long")
-    turn = F.xxhash64("id", "size", F.lit(seed))
-    joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    state = joined.select("id", "source", "size", "source_size", "target", F.least(F.floor("rate"), F.lit(MOST_COPIES)).cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("chance"), F.pmod(turn, F.col("buckets")).alias("bucket"), turn.alias("turn"))
+    held = [f"c{k}" for k in range(len(carry))]
+    placed = sized.withColumn("place", F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long")))
+    turn = F.xxhash64("id", "size", "hash", "place", F.lit(seed))
+    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    state = joined.select(*held, "id", "source", "size", "source_size", "target", F.least(F.floor("rate"), F.lit(MOST_COPIES)).cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("chance"), F.pmod(turn, F.col("buckets")).alias("bucket"), turn.alias("turn"))
     schema, parts, level = state.schema, [], 0
     buckets = max((r[4] for r in rows), default=0)
     while True:
-        state = settle(state.groupBy("source", "bucket").applyInPandas(_round(level, seed), schema))
+        state = settle(state.groupBy("source", "bucket").applyInArrow(_round(level, seed), schema))
         left = (F.col("chance") > 0) & (F.col("chance") < 1) & (F.col("size") > 0)
         parts.append(state.where(~left))
         state, level = state.where(left), level + 1
@@ -106,9 +114,10 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     for part in parts[1:]:
         out = out.unionByName(part)
     copies = F.when(F.col("size") > 0, F.least(F.col("whole") + (F.col("chance") >= 0.5).cast("int"), F.lit(MOST_COPIES))).otherwise(0)
-    return out.select("id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select("id", "source", "size", "source_size", "target", copies.alias("copies"), *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row; see ``mix`` for nulls, repeats and empty tables."""
     mixed = mix(docs.select("doc_id", "text", "source"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -283,6 +283,17 @@ def test_mixing_meets_targets(docs, edges, empty):
     assert mixing.query(edges).count() == len(EDGES) and mixing.query(empty).count() == 0
 
 
+def test_mixing_keeps_large_ids_beside_null_ones(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, None, None]
+    rows = [(i, "some words " * 5, s, k) for s in ("a", "b") for k, i in enumerate(ids * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    got = mixing.mix(df, carry=["row"]).collect()
+    assert Counter((r.id, r.source, r.row) for r in got) == Counter((i, s, k) for i, _, s, k in rows)
+    for s in ("a", "b"):
+        target = next(r.target for r in got if r.source == s)
+        assert abs(sum(r.copies * r.size for r in got if r.source == s) - target) <= 10
+
+
 def test_targets_are_capped_and_shared_anew():
     t = mixing.targets({"a": 10, "b": 1000, None: 1000})
     assert t["a"] == 30 and t["b"] == pytest.approx(2 / 5 * 1980) and t[None] == pytest.approx(3 / 5 * 1980)
@@ -349,6 +360,58 @@ def test_quality_rules_equal_brute_force(docs, edges, empty):
     assert quality_rules.query(empty).count() == 0
 
 
+def test_windows_across_short_texts_repeat_nothing():
+    ref = quality_rules.References([], np.zeros((0, len(quality_rules.CLASSES))), {}, np.zeros((0, 1)))
+    for texts in ([b"a a a", b"a a a a a a b", b"c"], [b"a"] * 9, [b"", b"a a a a a a a a a"], [b"x y"] * 40):
+        assert quality_rules.measure(texts, ref)[4].tolist() == [brute_rules(t.decode())[4] for t in texts]
+
+
+def test_references_and_verdict_equal_a_plain_computation(docs, rows):
+    ref = quality_rules.references(docs)
+    kinds = "control lower upper digit space line stop symbol bang other latin greek cyrillic semitic indic east beyond".split()
+    assert list(quality_rules.CLASSES) == kinds
+
+    def kind(c):
+        n = ord(c)
+        if n < 128:
+            for name, chars in (("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("space", " \t"), ("line", "\n\r"), ("stop", ".,;:'\"-()"), ("symbol", "#*$%&|<>"), ("bang", "!?")):
+                if c in chars:
+                    return name
+            return "control" if n < 32 else "other"
+        return next(name for top, name in ((0x380, "latin"), (0x400, "greek"), (0x580, "cyrillic"), (0x800, "semitic"), (0x2000, "indic"), (0x10000, "east"), (1 << 30, "beyond")) if n < top)
+
+    plain = lambda w: w.lower().strip(".,;:!?\"'()#*$%&|<>") if w.isascii() else w.encode().lower().strip(b".,;:!?\"'()#*$%&|<>").decode()
+    low = lambda t: t.encode().lower().decode()
+    chars, counted = defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang in rows:
+        if lang is not None:
+            chars[lang].update(map(kind, t))
+            counted[lang].update(words(low(t)))
+    langs = sorted(chars)
+    common = {plain(w) for c in counted.values() for w, n in c.items() if n >= quality_rules.COMMON * c.total()} - {""}
+    assert ref.languages == langs and {w.decode() for w in ref.words} == common
+    for k, lang in enumerate(langs):
+        assert ref.classes[k] == pytest.approx([chars[lang][x] / chars[lang].total() for x in kinds])
+
+    def distance(p, q):
+        m = (p + q) / 2
+        part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        return max((part(p) + part(q)) / 2, 0) ** 0.5
+
+    got = {r.doc_id: r for r in quality_rules.query(docs).collect()}
+    for i, t, _ in rows[:150]:
+        w = words(t)
+        want = 0.0
+        if len(w) >= 20 and len(t) >= 100:
+            c, v = Counter(map(kind, t)), Counter(plain(x) for x in w)
+            a = np.array([c[x] for x in kinds]) / len(t)
+            b = np.array([*(v[x.decode()] for x in ref.words), 0]) / len(w)
+            b[-1] = 1 - b[:-1].sum()
+            want = min(max(distance(a, p), 0.6 * distance(b, q)) for p, q in zip(ref.classes, ref.word_shares, strict=True))
+        assert got[i].js_distance == pytest.approx(want, abs=1e-5)
+        assert got[i].kept == (not got[i].base_failed and want <= 0.3)
+
+
 def test_jensen_shannon_limits():
     import numpy as np
 
