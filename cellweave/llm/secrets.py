@@ -1,15 +1,18 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 DataFrame expressions only. Two first-order models, one of random strings and one of ordinary
-identifiers, are trained from labelled samples; a long token whose mean log-likelihood ratio passes
-the threshold is a span of kind ``markov``. Offsets are code points, ends exclusive.
+identifiers, are trained from labelled samples: random strings are drawn from digests over the usual
+alphabets (hexadecimal, base 64 and its URL form, base 62, lower and upper base 36), ordinary ones are the
+words of all documents outside the fixed patterns. A token of TOKEN_LEAST characters or more that holds a
+letter is a span of kind ``markov`` if its mean log-likelihood ratio a pair of characters passes the
+threshold. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed patterns (kind, pattern, group that is measured, its least length).
 BASE = (
@@ -19,19 +22,23 @@ BASE = (
 )
 KINDS = (*(k for k, *_ in BASE), "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN_LEAST = 16
+TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 WORDLIKE = r"[A-Za-z0-9+/_=-]{4,}"
 
 
 def found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of a pattern, as structs (start, kind's rank, end, value): the gaps that ``split`` leaves give the offsets."""
-    none = F.lit(None).cast("array<struct<gap:int,size:int,value:string>>")
+    """Spans of a pattern, as structs (start, kind's rank, end, value): the gaps that ``split`` leaves give the offsets.
+
+    Only a text that has a match is taken apart.
+    """
     hits = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"),
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length).alias("size"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,stop:int,value:string>>").alias("spans"))
+    nothing = F.array().cast("array<struct<start:int,rank:int,stop:int,value:string>>")
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
     rank = F.lit(KINDS.index(kind))
 
     def step(acc: Column, x: Column) -> Column:
@@ -40,25 +47,29 @@ def found(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
         good = x["size"].isNotNull() & (F.char_length(x["value"]) >= least)
         return F.struct((begin + F.coalesce(x["size"], F.lit(0))).cast("int").alias("at"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(F.when(text.rlike(pattern), hits).otherwise(none), start, step, lambda acc: acc["spans"])).otherwise(start["spans"])
+    return F.when(text.rlike(pattern), F.aggregate(hits, start, step, lambda acc: acc["spans"])).otherwise(nothing)
 
 
 def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(found(text, *spec) for spec in BASE)))
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", every: int = 40) -> DataFrame:
-    """Labelled strings: values of base spans (random 1), and words of one document in ``every`` outside them (random 0).
+def random_strings(spark: SparkSession, each: int = 4000) -> DataFrame:
+    """Labelled random strings (value, random = 1): ``each`` digests, written in every alphabet."""
+    digest = F.sha2(F.concat(F.lit("random string "), F.col("id").cast("string")), 256)
+    plain = F.base64(F.unhex(digest))
+    short = F.translate(plain, "+/=", "")
+    forms = F.array(digest, F.translate(plain, "=", ""), F.translate(plain, "+/=", "-_"), short, F.lower(short), F.upper(short))
+    return spark.range(each).select(F.explode(forms).alias("value"), F.lit(1).alias("random"))
 
-    The documents of ordinary words are picked by a hash of the id.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = docs.select(F.explode(base_spans(text)).alias("s")).select(F.col("s.value").alias("value"), F.lit(1).alias("random"))
-    plain = text
+
+def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Labelled strings: random ones (random 1), and the words of all documents outside the fixed patterns (random 0)."""
+    plain = F.coalesce(F.col(text_col), F.lit(""))
     for _, pattern, _, _ in BASE:
         plain = F.regexp_replace(plain, pattern, " ")
-    words = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(every)) == 0).select(F.explode(F.regexp_extract_all(plain, F.lit(WORDLIKE), F.lit(0))).alias("value"), F.lit(0).alias("random"))
-    return spans.union(words)
+    words = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(WORDLIKE), F.lit(0))).alias("value"), F.lit(0).alias("random"))
+    return random_strings(docs.sparkSession).union(words)
 
 
 def train(samples: DataFrame, value_col: str = "value", label_col: str = "random") -> list[float]:
@@ -82,22 +93,21 @@ def train(samples: DataFrame, value_col: str = "value", label_col: str = "random
 def ratio_of(token: Column, ratio: list[float]) -> Column:
     """Mean log-likelihood ratio a pair of a token."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")
-    at = lambda i: F.instr(F.lit(ALPHABET), token.substr(i, F.lit(1))) - 1
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     pairs = F.char_length(token) - 1
-    total = F.aggregate(F.sequence(F.lit(1), pairs), F.lit(0.0), lambda acc, i: acc + F.element_at(table, (at(i) * len(ALPHABET) + at(i + 1) + 1).cast("int")))
-    return total / pairs
+    each = F.zip_with(F.slice(codes, F.lit(1), pairs), F.slice(codes, F.lit(2), pairs), lambda a, b: F.element_at(table, ((a - 1) * len(ALPHABET) + b).cast("int")))
+    return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / pairs
 
 
 def scan(docs: DataFrame, ratio: list[float], text_col: str = "text", threshold: float = 1.0) -> DataFrame:
     """Append ``base_found`` and ``markov_found`` (arrays of spans); null text counts as empty.
 
-    Spans of the models that overlap a base span are left out. Input columns of these names are replaced.
+    Spans of the models stand beside base spans that they overlap. Input columns of these names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("base_found", base_spans(text))
-    tokens = F.filter(found(text, "markov", TOKEN, 0, 20), lambda s: ratio_of(s["value"], ratio) > threshold)
-    apart = lambda s: ~F.exists("base_found", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return out.withColumn("markov_found", F.filter(tokens, apart))
+    tokens = F.filter(found(text, "markov", TOKEN, 0, TOKEN_LEAST), lambda s: s["value"].rlike("[A-Za-z]") & (ratio_of(s["value"], ratio) > threshold))
+    return out.withColumn("markov_found", tokens)
 
 
 def written(spans: Column) -> Column:
@@ -106,25 +116,28 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, ratio: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace every span by ``mark``; spans that overlap are replaced together. Other rows and columns stay."""
-    text = F.col(text_col)
-    spans = F.array_sort(F.concat("__base", "__markov"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """Replace every span by ``mark``; spans that overlap are replaced together. Other rows and all other columns stay."""
+    names = {c: f"in_{k}" for k, c in enumerate(docs.columns)}  # no input column is named like an added one
+    text = F.col(names[text_col])
+    spans = F.array_sort(F.concat("base_found", "markov_found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        fresh = F.concat(acc["parts"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"])))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
 
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text))))
-    found_in = scan(docs.select(*docs.columns), ratio, text_col).withColumnsRenamed({"base_found": "__base", "markov_found": "__markov"})
-    return found_in.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)
+    whole = lambda acc: F.array_join(F.concat(acc["parts"], F.array(text.substr(acc["at"] + 1, F.char_length(text)))), mark)
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, whole)).otherwise(text)
+    inside = scan(docs.withColumnsRenamed(names), ratio, names[text_col])
+    return inside.select(*((clean if c == text_col else F.col(names[c])).alias(c) for c in docs.columns))
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
-    return train(labelled_samples(docs, text_col, id_col))
+def fit(docs: DataFrame, text_col: str = "text") -> list[float]:
+    return train(labelled_samples(docs, text_col))
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Counts and spans of every row. Null and empty texts have none; repeated rows and rows without id are scanned alike."""
     docs = docs.select("doc_id", "text")
     spans = scan(docs, fit(docs))
     count = lambda kind: F.size(F.filter("base_found", lambda s: s["rank"] == KINDS.index(kind))).cast("long")

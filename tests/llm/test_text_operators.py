@@ -129,16 +129,39 @@ def test_secret_spans_equal_brute_force(spark, docs):
         assert set(filter(None, written.split(","))) <= set(r.spans.split(","))
 
 
-def test_markov_models_find_random_strings(spark, empty):
-    ordinary = [(w, 0) for w in "calculate total_amount response handler configuration environment production reader_factory ordinary identifiers connection".split()] * 20
-    random = [(hashlib.sha256(str(k).encode()).hexdigest()[:30], 1) for k in range(60)]
-    ratio = secrets.train(spark.createDataFrame(ordinary + random, "value string, random int"))
-    text = "call calculate_total_amount_response_handler with 9f8e7d6c5b4a39281706f5e4-d3c2b1a0"
-    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratio).first()
-    assert [text[s["start"] : s["stop"]] for s in row.markov_found + row.base_found]
-    assert not any("calculate" in text[s["start"] : s["stop"]] for s in row.markov_found)
-    clean = secrets.redact(spark.createDataFrame([(1, "x password=abcdef123 y"), (2, None)], "doc_id long, text string"), ratio)
-    assert [r.text for r in clean.orderBy("doc_id").collect()] == ["x [SECRET] y", None]
+def test_markov_ratio_equals_a_plain_computation(spark):
+    samples = [("abcabd", 0), ("bcbc", 0), ("x9Q/", 1), ("Qx9x", 1), ("é", 1), ("a", 0)]
+    ratio = secrets.train(spark.createDataFrame(samples, "value string, random int"))
+    counts = {0: defaultdict(lambda: 0.5), 1: defaultdict(lambda: 0.5)}
+    for value, label in samples:
+        for a, b in zip(value, value[1:], strict=False):
+            counts[label][a, b] += 1
+    logs = lambda label, a, b: np.log(counts[label][a, b] / sum(counts[label][a, c] for c in secrets.ALPHABET))
+    tokens = ["abcd", "x9Qx", "abQ9/c", "=_-+"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select(secrets.ratio_of(spark_column("t"), ratio).alias("r")).collect()
+    for t, r in zip(tokens, got, strict=True):
+        assert r.r == pytest.approx(np.mean([logs(1, a, b) - logs(0, a, b) for a, b in zip(t, t[1:], strict=False)]), abs=1e-5)
+
+
+def spark_column(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
+
+
+def test_markov_models_find_random_strings_outside_the_patterns(spark, docs, empty):
+    ratio = secrets.fit(docs)
+    rng = np.random.default_rng(8)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    random = [draw(x, n) for x in (lower + lower.upper() + digits, lower + digits, lower.upper() + digits, lower + lower.upper() + digits + "+/", lower + lower.upper() + digits + "-_") for n in (20, 24, 32, 40) for _ in range(10)]
+    ordinary = ["calculate_total_amount", "getResponseHandlerName", "configuration-environment", "UnterscheidungenderEinheit", "internationalisation", "the-quiet-river-and-the-mill", "12345678901234567890", "2024-01-01-2025-12-31"]
+    texts = [f"see {t} in the text" for t in random + ordinary]
+    got = secrets.scan(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), ratio).orderBy("doc_id").collect()
+    hit = [any(s["start"] == 4 and s["stop"] == 4 + len(t) for s in r.markov_found) for r, t in zip(got, random + ordinary, strict=True)]
+    assert sum(hit[: len(random)]) > 0.98 * len(random) and not any(hit[len(random) :])
+    clean = secrets.redact(spark.createDataFrame([(1, "x password=abcdef123 y", 7), (2, None, 8)], "doc_id long, text string, base_found int"), ratio)
+    assert [tuple(r) for r in clean.orderBy("doc_id").collect()] == [(1, "x [SECRET] y", 7), (2, None, 8)]
     assert secrets.query(empty.select("doc_id", "text")).count() == 0
 
 
