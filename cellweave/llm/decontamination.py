@@ -1,22 +1,45 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-DataFrame expressions only. A window is as long as a benchmark item, in words. A window that shares
-no five-word shingle with an item has similarity 0 with it, so fingerprints are worked out only for
-windows laid over a shared shingle, each aligned as the shingle is in the item; none that can pass
-is left out by that. Fingerprints are cut into RADIUS + 1 blocks: two within RADIUS bits agree in a
-block, so joining on (item length, block, value) finds all of them. Candidates are then compared by
-weighted Jaccard similarity of their shingles, weighted by how often each stands there.
+Every item has a window class: the largest of a fixed scale that fits it with a stride to spare
+(``window_class``; under eight words the item's own length). Windows of each class that the benchmark
+needs are laid over whole documents, an eighth of a window apart and at the text's end, and over each
+item at every word, so whatever stretch of an item a document holds, one of its windows lies inside it.
+A window's fingerprint is the SimHash of its word pairs (of the word, for items of one): bit by bit the
+majority of the pairs' hashes, from running sums kept for eight bits at a time in the bytes of a word.
+
+Fingerprints are cut into BLOCKS blocks. Two within RADIUS bits differ by at most ERRORS bits in some
+block, so the items' blocks are indexed under all values so near, and looking up a document's own
+values finds all fingerprints within the radius. Each candidate is then compared exactly, by
+expressions: every placing of the item around the window that puts a shared shingle in its place, by
+weighted Jaccard similarity of five-word shingles, weighted by how often each stands there. An item of
+fewer words is one shingle.
+
+Fingerprints are worked out in numpy, over Arrow batches: with DataFrame functions alone, laying the
+windows took more than the whole CPU budget (README).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from itertools import combinations
 
-SHINGLE, RADIUS, BITS = 5, 15, 64
-BLOCK_BITS = BITS // (RADIUS + 1)
-#: Up to so many item shingles are broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_SHINGLES = 200_000
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from .common import settle, texts_of
+
+SHINGLE, BITS = 5, 64
+RADIUS, BLOCKS = 13, 5
+WIDTH, ERRORS = -(-BITS // BLOCKS), RADIUS // BLOCKS
+CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 48, 64)
+#: Words that are worked on at a time, and items that are searched for at a time (which bounds the index).
+PART, ITEMS_AT_ONCE = 200_000, 2000
 _SPACES = " \t\n\x0b\x0c\r"
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def words(text: Column) -> Column:
@@ -26,28 +49,148 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def shingle_hashes(hashes: Column) -> Column:
-    """Hash of every run of five word hashes; a shorter text is one shingle."""
-    n = F.size(hashes)
-    runs = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(*(F.element_at(hashes, i + k) for k in range(SHINGLE))))
-    return F.when(n >= SHINGLE, runs).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
-
-
-def fingerprints(rows: DataFrame, key: list[str], hashes: str) -> DataFrame:
-    """SimHash of each row's array of word hashes: ``key`` and ``print`` (a long)."""
-    word = F.col("w")
-    each = rows.select(*key, F.explode(hashes).alias("h")).groupBy(*key, "h").agg(F.count("*").alias("weight")).select(*key, F.xxhash64("h", F.lit(97)).alias("w"), "weight")
-    votes = [F.sum(F.when(F.shiftright(word, k).bitwiseAND(F.lit(1)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"v{k}") for k in range(BITS)]
-    total = F.lit(0).cast("long")
-    for k in range(BITS):
-        total = total.bitwiseOR(F.shiftleft((F.col(f"v{k}") > 0).cast("long"), k))
-    return each.groupBy(*key).agg(*votes).select(*key, total.alias("print"))
-
-
-def blocks(rows: DataFrame) -> DataFrame:
-    """One row a block of the fingerprint: ``block`` and ``value``."""
-    parts = [F.struct(F.lit(k).alias("block"), F.shiftright("print", k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("value")) for k in range(BITS // BLOCK_BITS)]
-    return rows.select("*", F.inline(F.array(*parts)))
+def stride(size: int) -> int:
+    return max(size // 8, 1)
+
+
+def window_class(size: int) -> int:
+    """The largest class whose windows, a stride apart, cannot all miss a stretch of ``size`` words."""
+    return max(c for c in CLASSES if size >= c + stride(c) - 1)
+
+
+def shingles(hashes: Column, each: Column) -> Column:
+    """Hash of every run of ``each`` word hashes."""
+    last = F.size(hashes) - each + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(hashes, i, each)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    split = text.translate(_LOWER).split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split))
+
+
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    code = ((h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MORE + h[1:]) * _MIX
+    return (code ^ (code >> np.uint64(32))) * _MORE
+
+
+def running(features: np.ndarray) -> np.ndarray:
+    """[8, n + 1] running sums: byte j of row k counts, modulo 2 ** 64 in all, the features with bit 8 * j + k."""
+    out = np.zeros((8, len(features) + 1), np.uint64)
+    for k in range(8):
+        np.cumsum((features >> np.uint64(k)) & _LANES, out=out[k, 1:])
+    return out
+
+
+def fingerprints(sums: np.ndarray, start: np.ndarray, count: int) -> np.ndarray:
+    """Of each bit whether at least half of the ``count`` (at most 63) features from ``start`` on have it."""
+    half = np.uint64(64 - -(-count // 2)) * _LANES  # half of the features reach bit 6 of a byte
+    out = np.zeros(len(start), np.uint64)
+    for k in range(8):
+        inside = sums[k][start + count] - sums[k][start] + half
+        out |= ((inside >> np.uint64(6)) & _LANES) << np.uint64(k)
+    return out
+
+
+class Index:
+    """Fingerprints of items' windows by class, each block's near values pointing at them."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        """``items``: (code, text). An item of many more words than the widest class has windows at its begin,
+        middle and end: at each a whole stride of them."""
+        made: dict[int, list[tuple[int, int, int]]] = {}
+        run = stride(CLASSES[-1])
+        for code, text in items:
+            h = word_hashes(text)
+            c = window_class(len(h))
+            span = len(h) - c
+            places = np.arange(span + 1) if span < 3 * run else np.concatenate([at + np.arange(run) for at in (0, span // 2, span - run + 1)])
+            for place, fingerprint in zip(places.tolist(), fingerprints(running(h if c == 1 else pair_hashes(h)), places, max(c - 1, 1)).tolist(), strict=True):
+                made.setdefault(c, []).append((fingerprint, code, place))
+        self.classes = sorted(made)
+        self.of = {c: self._indexed(rows) for c, rows in made.items()}
+
+    @staticmethod
+    def _indexed(rows: list[tuple[int, int, int]]) -> tuple:
+        print_, code, place = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        tables = []
+        for block in range(BLOCKS):
+            shift, bits = block * WIDTH, min(WIDTH, BITS - block * WIDTH)
+            masks = np.array([sum(1 << j for j in some) for n in range(ERRORS + 1) for some in combinations(range(bits), n)], np.uint64)
+            value = (print_ >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+            near = (value[:, None] ^ masks[None, :]).astype(np.int64).ravel()
+            order = np.argsort(near, kind="stable")
+            tables.append((np.uint64(shift), np.uint64((1 << bits) - 1), np.searchsorted(near[order], np.arange((1 << bits) + 1)), (order // len(masks)).astype(np.int32)))
+        return print_, code, place, tables
+
+    def near(self, c: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (position in ``prints``, item window) within the radius."""
+        print_, _, _, tables = self.of[c]
+        found = []
+        for shift, mask, first, entries in tables:
+            value = ((prints >> shift) & mask).astype(np.int64)
+            low = first[value]
+            n = first[value + 1] - low
+            which = np.repeat(np.arange(len(prints)), n)
+            entry = entries[np.arange(len(which)) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)] if len(which) else np.zeros(0, np.int32)
+            good = np.bitwise_count(prints[which] ^ print_[entry]) <= RADIUS
+            found.append(which[good] * len(print_) + entry[good])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(print_), pairs % len(print_)
+
+    def search(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes of texts -> (text, code, place): there the item would begin, by one of its windows."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        base = np.r_[0, np.cumsum(sizes)]
+        h = np.concatenate([*texts, np.zeros(0, np.uint64)])
+        sums = {False: running(pair_hashes(h)) if len(h) else None, True: running(h) if 1 in self.classes else None}
+        out = []
+        for c in self.classes:
+            fit = np.flatnonzero(sizes >= c)
+            if not len(fit):
+                continue
+            step, last = stride(c), sizes[fit] - c
+            n = last // step + 1
+            start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+            owner = np.repeat(fit, n)
+            start, owner = np.r_[start, last], np.r_[owner, fit]  # and the text's last window
+            pos, window = self.near(c, fingerprints(sums[c == 1], base[owner] + start, max(c - 1, 1)))
+            _, code, place, _ = self.of[c]
+            out.append(np.stack([owner[pos], code[window], start[pos] - place[window]], axis=1))
+        got = np.unique(np.concatenate([*out, np.zeros((0, 3), np.int64)]), axis=0)
+        return got[:, 0], got[:, 1], got[:, 2]
+
+
+def candidates(docs: DataFrame, index: Index, text_col: str, id_col: str) -> DataFrame:
+    """id, code and place of every item window near a document's."""
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    schema = T.StructType([source.schema["id"], T.StructField("code", T.LongType()), T.StructField("place", T.IntegerType())])
+    overlap = CLASSES[-1] + stride(CLASSES[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, rows, shift, held = [], [], [], 0
+
+            def flush():
+                owner, code, place = shared.value.search(parts)
+                at = np.array(rows, np.int64)[owner] if len(owner) else owner
+                moved = place + np.array(shift, np.int64)[owner] if len(owner) else place
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(code), pa.array(moved.astype(np.int32))], names=["id", "code", "place"])
+
+            for row, text in enumerate(texts_of(batch, "__text")):
+                h = word_hashes(text)
+                for a in range(0, max(len(h), 1), PART):  # a very long text in parts that overlap by a window and more
+                    parts.append(h[a : a + PART + overlap])
+                    rows.append(row)
+                    shift.append(a)
+                    held += len(parts[-1])
+                    if held >= PART:
+                        yield flush()
+                        parts, rows, shift, held = [], [], [], 0
+            yield flush()
+
+    return source.mapInArrow(run, schema)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -61,28 +204,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """id, item, first word, similarity: the best window of each document over each item it holds.
 
     Null and empty texts, items without a word and documents without an id match nothing. Rows that
-    share an id are one document; repeated items count once.
+    share an id are one document; repeated items count once, of texts that share an item id the best
+    counts, and an item without id is reported with a null one. Of equally good windows the first counts.
     """
-    items = benchmark.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("words")).where(F.size("words") > 0)
-    items = items.select("item", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("ih", shingle_hashes(F.col("h"))).withColumn("size", F.size("h"))
-    items = items.dropDuplicates(["item", "ih"])
-    anchors = items.select("item", "size", F.posexplode("ih").alias("offset", "shingle"))
-    if anchors.count() <= BROADCAST_SHINGLES:
-        anchors = F.broadcast(anchors)
-    hashed = docs.select(F.col(id_col).alias("id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("h"))
-    placed = hashed.select("id", F.posexplode(shingle_hashes(F.col("h"))).alias("at", "shingle")).join(anchors, "shingle")
-    starts = placed.select("id", "item", "size", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start")).distinct()
-    wanted = starts.groupBy("id").agg(F.collect_set(F.struct("start", "size")).alias("places"))
-    windows = hashed.join(wanted, "id").select("id", "h", F.inline("places")).select("id", "start", "size", F.slice("h", F.col("start") + 1, F.col("size")).alias("h")).dropDuplicates(["id", "start", "size", "h"]).withColumn("code", F.xxhash64("h"))
-    key = ["id", "start", "size", "code"]
-    prints = windows.join(fingerprints(windows, key, "h"), key).select(*key, "h", "print")
-    item_prints = items.join(fingerprints(items, ["item"], "h"), "item").select("item", "size", "ih", F.col("print").alias("item_print"))
-    of_items = blocks(item_prints.withColumn("print", F.col("item_print"))).drop("print")
-    near = blocks(prints).join(of_items, ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    once = near.dropDuplicates([*key, "item"])
-    scored = once.withColumn("similarity", similarity(shingle_hashes(F.col("h")), F.col("ih"))).where(F.col("similarity") >= threshold)
-    return scored.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")).select("id", "item", (-F.col("best.s")).alias("first_word"), F.col("best.similarity").alias("similarity"))
+    hashes = lambda text: F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+    named = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"), hashes(item_text).alias("h")).withColumn("code", F.xxhash64("h"))
+    items = named.where(F.size("h") > 0).dropDuplicates(["code"])
+    times = max(-(-items.count() // ITEMS_AT_ONCE), 1)
+    found = None
+    for k in range(times):  # a benchmark of many items is searched for in blocks
+        block = items.where(F.pmod(F.xxhash64("code"), F.lit(times)) == k).select("code", "text").collect()
+        own = candidates(docs, Index(sorted((r[0], r[1].encode()) for r in block)), text_col, id_col)
+        found = own if found is None else found.union(own)
+    found = settle(found.distinct())
+    # exact comparison, around each candidate
+    each = F.least(F.col("size"), F.lit(SHINGLE))
+    facts = items.withColumn("size", F.size("h")).select("code", "size", shingles(F.col("h"), each).alias("ih"))
+    reach = (F.col("size") / 4 + 4).cast("int")
+    wanted = found.join(facts.select("code", "size", reach.alias("reach")), "code").groupBy("id").agg(F.collect_set(F.struct("code", "size", "reach", F.greatest("place", F.lit(0)).alias("place"))).alias("places"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("doc_text")).join(wanted, "id").select("id", "places", hashes("doc_text").alias("h"))
+    low = lambda p: F.greatest(p["place"] - p["reach"], F.lit(0))
+    # h is named twice here, so that the optimizer keeps it as a column and does not work it out again for every place
+    around = F.transform("places", lambda p: F.struct(p["code"].alias("code"), F.least(p["place"] + p["reach"], F.size("h")).alias("high"), low(p).alias("low"), F.slice("h", low(p) + 1, p["size"] + p["reach"] * 2).alias("near")))
+    near = texts.select("id", F.inline(around)).join(facts, "code").select("*", shingles(F.col("near"), each).alias("ng"))
+    at = lambda i: F.transform(F.filter(F.sequence(F.lit(0), F.size("ih") - 1), lambda o: F.element_at("ih", o + 1) == F.element_at("ng", i + 1)), lambda o: F.greatest(F.col("low") + i - o, F.lit(0)))
+    placings = F.when(F.size("ng") > 0, F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("ng") - 1), lambda i: F.array_contains("ih", F.element_at("ng", i + 1))), at))).otherwise(F.array().cast("array<int>"))
+    placed = near.select("id", "code", "size", "ih", "near", "low", F.explode(F.array_distinct(F.filter(placings, lambda s: (s >= F.col("low")) & (s <= F.col("high"))))).alias("start"))
+    window = shingles(F.slice("near", F.col("start") - F.col("low") + 1, F.col("size")), each)
+    # settled, as the filter would else be pushed below the windows and work each of them out again for every shingle
+    scored = settle(placed.select("id", "code", "start", "ih", window.alias("wg"))).select("id", "code", "start", similarity(F.col("wg"), F.col("ih")).alias("similarity")).where(F.col("similarity") >= threshold)
+    names = named.select("code", "item").distinct()
+    best = scored.join(names, "code").groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"))
+    return best.select("id", "item", (-F.col("best.s")).alias("first_word"), F.col("best.similarity").alias("similarity"))
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, first_word and similarity of every item found; see ``contaminated`` for nulls, repeats and ties."""
     return contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "similarity")

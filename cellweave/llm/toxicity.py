@@ -307,10 +307,10 @@ def labelled_sample(rows: DataFrame, text_col: str, label_col: str, id_col: str,
     return bounded_sample(rows, [label_col], text_col, id_col, per_class), run
 
 
-def score(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
-    """Append ``score`` and ``predicted``. Null and wordless texts get a low, fixed score."""
+def score(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Append the chance of toxicity and the verdict, under ``names``. Null and wordless texts get a low, fixed score."""
     model = docs.sparkSession.sparkContext.broadcast(net)
-    added = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    added = T.StructType([T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(texts: list[bytes]) -> list:
         s = model.value.scores(texts)
@@ -326,6 +326,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; see ``score`` for null and empty texts."""
     held = fold_bucket("doc_id", 3) == 1
     net = fit(labelled_rows(docs.where(~held), labels, "toxic"))
     return score(docs.select("doc_id", held.alias("held_out"), "text"), net, keep=["doc_id", "held_out"])

@@ -466,32 +466,87 @@ def test_repeats_find_shared_passages(spark, edges, empty):
     assert substring_dedup.query(empty).count() == 0 and substring_dedup.query(edges).count() == 1  # the repeated row
 
 
+def brute_contaminated(texts, items):
+    """{(doc, item): (similarity, first word)} over every placing of every item."""
+    found = {}
+    for d, t in texts:
+        w = words(lowered(t or ""))
+        for i, item in items:
+            v = words(lowered(item or ""))
+            k = min(len(v), 5)
+            grams = lambda x, k=k: Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))
+            b = grams(v)
+            if not v or not set(b) & set(grams(w)):
+                continue
+            for s in range(len(w)):
+                a = grams(w[s : s + len(v)])
+                both = (a & b).total()
+                if both and both >= 0.8 * (a | b).total() and (both / (a | b).total(), -s) > found.get((d, i), (0, 0)):
+                    found[d, i] = (both / (a | b).total(), -s)
+    return found
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = {r.item_id: words(lowered(r.text or "")) for r in bench.collect()}
-    shingles = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-    want = set()
-    index = defaultdict(set)
-    for i, w in items.items():
-        for x in shingles(w):
-            index[x].add(i)
-    for d, t, _ in rows:
-        w = words(lowered(t))
-        for i in {i for x in shingles(w) for i in index[x]}:
-            n = len(items[i])
-            for s in range(max(len(w) - n, 0) + 1):
-                a, b = shingles(w[s : s + n]), shingles(items[i])
-                if (a & b).total() >= 0.8 * (a | b).total():
-                    want.add((d, i))
-    got = {(r.doc_id, r.item_id) for r in decontamination.query(docs, bench).collect()}
-    assert got == want and want
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    first = brute_contaminated([(d, t) for d, t, _ in rows], items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.query(docs, bench).collect()}
+    assert got == pytest.approx({k: v[0] for k, v in first.items()}) and got
+
+
+def test_decontamination_finds_edited_and_short_items(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    draw = lambda n: rng.choice(vocabulary, n).tolist()
+    items = [(k, draw(n)) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 17, 25, 26, 40, 53, 59, 70, 90, 140, 400] * 3)]
+    texts = []
+    for d in range(450):
+        i, item = items[d % len(items)]
+        body = list(item)
+        cut = int(rng.integers(0, 1 + len(body) // 9))
+        way = d % 6
+        if way == 1:
+            body = body[cut:]
+        elif way == 2:
+            body = body[: len(body) - cut]
+        elif way == 3 and len(body) > 45:
+            body[int(rng.integers(8, len(body) - 8))] = "edited"
+        elif way == 4 and len(body) > 45:
+            body.insert(int(rng.integers(8, len(body) - 8)), "inserted")
+        elif way == 5 and cut:
+            body[:cut] = draw(cut)
+        before, after = (draw(int(n)) for n in rng.integers(0, 80, 2))
+        texts.append((d, " ".join((before if d % 4 else []) + body + (after if d % 5 else []))))
+    want = brute_contaminated(texts, [(i, " ".join(w)) for i, w in items])
+    got = {(r.doc_id, r.item_id) for r in decontamination.query(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert got <= set(want) and len(want) > 400
+    assert len(got) >= 0.995 * len(want), sorted(set(want) - got)[:20]
+
+
+def test_fingerprints_are_majorities_and_the_index_is_complete():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    for count in (1, 2, 7, 31, 63):
+        start = np.arange(0, 300 - count, 5)
+        got = decontamination.fingerprints(decontamination.running(h), start, count)
+        for s, p in zip(start.tolist(), got.tolist(), strict=True):
+            assert p == sum((2 * sum(int(x) >> b & 1 for x in h[s : s + count]) >= count) << b for b in range(64))
+    index = decontamination.Index([(k, " ".join(f"w{k}x{j}" for j in range(20)).encode()) for k in range(8)])
+    (c,) = index.classes
+    own = index.of[c][0]
+    probes = own.repeat(40)
+    for k in range(len(probes)):
+        for bit in rng.choice(64, int(rng.integers(0, 17)), replace=False):
+            probes[k] ^= np.uint64(1) << np.uint64(bit)
+    got = set(zip(*(x.tolist() for x in index.near(c, probes)), strict=True))
+    assert got == {(i, j) for i, p in enumerate(probes) for j, q in enumerate(own) if int(p ^ q).bit_count() <= decontamination.RADIUS}
 
 
 def test_decontamination_edges(spark, edges, empty):
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "no ID at all but a few words here"), (4, "no ID at all but a few words here")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "no ID at all but a few words here"), (4, "no ID at all but a few words here"), (5, "words here"), (None, "dolor sit AMET lorem"), (4, "ipsum dolor sit")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.query(edges, bench).collect()}
-    assert got == {(5, 3)}  # a row without id has no name to report
-    assert decontamination.query(empty, bench).count() == 0
+    assert got == {(5, 3), (4, None), (4, 4)}  # a row without id has no name to report
+    assert decontamination.query(empty, bench).count() == 0 and decontamination.query(edges, bench.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("name", ["op3_near_duplicates", "op10_decontamination"])
@@ -508,7 +563,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, monkeypatch):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -518,5 +573,76 @@ def test_pipeline_stages(spark):
         assert set(columns) <= set(out.columns) and 0 < out.count() <= held.count()
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == columns
+        if k == 1:
+            want = {i for i, (_, c) in brute_components([(r.doc_id, r.text or "") for r in held.collect()], each=5).items() if i == c}
+            assert {r.doc_id for r in out.collect()} == want
+        if k == 2:
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            dirty = {d for d, _ in brute_contaminated([(r.doc_id, r.text) for r in held.collect()], items)}
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in held.collect()} - dirty
+        if k == 3:
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in held.collect()}
+            assert not any(brute_spans(r.text or "") for r in out.collect())
+            assert all(r.n_chars == len(r.text or "") for r in out.collect())
         held = out
     assert held.where("copies < 1 OR copies > 3").count() == 0
+
+
+PIPELINE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, component string, base_found int, copies string, row_key int, grp string, doc int"
+
+
+def _pipeline_folder(spark, path, rows):
+    spark.createDataFrame(rows, PIPELINE_COLUMNS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "the benchmark item that nobody should have seen at all today"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_runs_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"w{k}" for k in range(60))
+    extra = ("x", "y", "z", 1, "c", 2, "g", 3)
+    texts = [
+        (1, long), (1, "another text under the same id, and nothing like the first one"), (None, long + " more"), (None, None), (5, ""), (6, "one"), (6, "one"),
+        (7, "so here the benchmark item that nobody should have seen at all today stands in a text"), (None, "the benchmark item that nobody should have seen at all today"),
+        (8, "key password=abcdef123456 and words"), (None, "a row without id that is like no other row of them all"), (None, "a row without id that is like no other row of them all"),
+    ]
+    _pipeline_folder(spark, tmp_path, [(i, t, None, "s" if k % 2 else None, len(t or ""), *extra) for k, (i, t) in enumerate(texts)])
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, held, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/after {name}")
+        held = spark.read.parquet(f"{tmp_path}/after {name}")
+        left[name] = sorted(((r.doc_id, r.text) for r in held.collect()), key=str)
+        assert all((r.score, r.predicted, r.base_found, r.row_key, r.grp, r.doc) == ("x", "y", 1, 2, "g", 3) for r in held.collect())
+    assert left["toxicity"] == sorted(texts, key=str)
+    once = [t for k, t in enumerate(texts) if k not in (2, 6, 11)]
+    assert left["near duplicates"] == sorted(once, key=str)
+    clean = [t for t in once if "benchmark" not in (t[1] or "")]
+    assert left["decontamination"] == sorted(clean, key=str)
+    assert left["secrets"] == sorted([(8, "key [SECRET] and words") if i == 8 else (i, t) for i, t in clean], key=str)
+    assert {r.copies for r in held.collect()} <= {1, 2, 3} and all(words(t) for _, t in left["mixing"])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == held.count()
+
+
+def test_pipeline_runs_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    _pipeline_folder(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_stage_meets_targets_with_rows_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None, " ".join([f"w{k}"] * (5 + k % 40)), None, s, 0, *("x", "y", "z", 1, "c", 2, "g", 3)) for s in ("a", "b") for k in range(50)]
+    _pipeline_folder(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    taken = Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect():
+        taken[r.source] += r.copies * len(words(r.text))
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(words(r[1]))
+    assert all(abs(taken[s] - t) <= 45 for s, t in mixing.targets(size).items())
