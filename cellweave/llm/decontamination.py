@@ -1,45 +1,37 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Benchmark decontamination: SimHash of windows sized by the item, multi-index Hamming blocks, exact check.
 
-Every item has a window class: the largest of a fixed scale that fits it with a stride to spare
-(``window_class``; under eight words the item's own length). Windows of each class that the benchmark
-needs are laid over whole documents, an eighth of a window apart and at the text's end, and over each
-item at every word, so whatever stretch of an item a document holds, one of its windows lies inside it.
-A window's fingerprint is the SimHash of its word pairs (of the word, for items of one): bit by bit the
-majority of the pairs' hashes, from running sums kept for eight bits at a time in the bytes of a word.
-
-Fingerprints are cut into BLOCKS blocks. Two within RADIUS bits differ by at most ERRORS bits in some
-block, so the items' blocks are indexed under all values so near, and looking up a document's own
-values finds all fingerprints within the radius. Each candidate is then compared exactly, by
-expressions: every placing of the item around the window that puts a shared shingle in its place, by
-weighted Jaccard similarity of five-word shingles, weighted by how often each stands there. An item of
-fewer words is one shingle.
+DataFrame expressions only. The items' lengths give the windows: an item under 8 words its own length, under 15
+words 8, under 93 words 12, then 24 and 48 (``CLASSES``). With a similarity of 0.8 an item of L words has lost at most
+a ninth of its shingles, so beside at most L / 45 edits inside it some stretch of a window and a stride
+stands unchanged. Windows of each length that the benchmark needs are laid over whole documents, a stride
+apart and at the text's end, and over each item at a whole stride of places in every such stretch.
 
-Fingerprints are worked out in numpy, over Arrow batches: with DataFrame functions alone, laying the
-windows took more than the whole CPU budget (README).
+A window's fingerprint is the SimHash of its word pairs (of the word, for items of one): bit by bit the
+majority of the pairs' hashes, added up for all bits at once by full adders and in lanes of bytes, so 64
+sums cost a few operations a pair and stay inside generated code. Fingerprints are cut into BLOCKS blocks.
+Two within RADIUS bits differ by at most one bit in some block, so the items' blocks are indexed under all
+values so near, and a join on (class, block, value) finds all fingerprints within the radius.
+
+Each candidate is then compared exactly: every placing of the item around the window that puts a shared
+shingle in its place, by weighted Jaccard similarity of five-word shingles, weighted by how often each
+stands there. An item of fewer words is one shingle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from pyspark.sql import Column, DataFrame, functions as F
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-from .common import settle, texts_of
+from .common import settle
 
 SHINGLE, BITS = 5, 64
-RADIUS, BLOCKS = 13, 5
-WIDTH, ERRORS = -(-BITS // BLOCKS), RADIUS // BLOCKS
-CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 48, 64)
-#: Words that are worked on at a time, and items that are searched for at a time (which bounds the index).
-PART, ITEMS_AT_ONCE = 200_000, 2000
+RADIUS, BLOCKS = 7, 4
+WIDTH = BITS // BLOCKS
+#: (least words of an item, words of its windows, stride); items of less than eight words have their own length.
+CLASSES = (*((n, n, 1) for n in range(1, 9)), (15, 12, 4), (93, 24, 8), (189, 48, 16))
+STRIDE = {size: step for _, size, step in CLASSES}
+#: Word pairs of a document that are laid out at a time, and items that are searched for at a time (which bounds the broadcast).
+PART, ITEMS_AT_ONCE = 2048, 1000
 _SPACES = " \t\n\x0b\x0c\r"
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_LANES = np.uint64(0x0101010101010101)
 
 
 def words(text: Column) -> Column:
@@ -49,13 +41,12 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def stride(size: int) -> int:
-    return max(size // 8, 1)
-
-
-def window_class(size: int) -> int:
-    """The largest class whose windows, a stride apart, cannot all miss a stretch of ``size`` words."""
-    return max(c for c in CLASSES if size >= c + stride(c) - 1)
+def window_class(size: Column) -> Column:
+    """Words of the windows of an item of ``size`` words."""
+    out = F.lit(0)
+    for least, words_each, _ in CLASSES:
+        out = F.when(size >= least, F.lit(words_each)).otherwise(out)
+    return out
 
 
 def shingles(hashes: Column, each: Column) -> Column:
@@ -64,133 +55,112 @@ def shingles(hashes: Column, each: Column) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(hashes, i, each)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    split = text.translate(_LOWER).split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split))
-
-
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    code = ((h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MORE + h[1:]) * _MIX
-    return (code ^ (code >> np.uint64(32))) * _MORE
+def majority(rows: DataFrame, inputs: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` and ``print``: of each bit whether at least half of the inputs (an even number up to 62) have it.
 
-
-def running(features: np.ndarray) -> np.ndarray:
-    """[8, n + 1] running sums: byte j of row k counts, modulo 2 ** 64 in all, the features with bit 8 * j + k."""
-    out = np.zeros((8, len(features) + 1), np.uint64)
-    for k in range(8):
-        np.cumsum((features >> np.uint64(k)) & _LANES, out=out[k, 1:])
-    return out
-
-
-def fingerprints(sums: np.ndarray, start: np.ndarray, count: int) -> np.ndarray:
-    """Of each bit whether at least half of the ``count`` (at most 63) features from ``start`` on have it."""
-    half = np.uint64(64 - -(-count // 2)) * _LANES  # half of the features reach bit 6 of a byte
-    out = np.zeros(len(start), np.uint64)
+    Two layers of full adders turn three columns of one weight into a sum and a carry, for all 64 bits at once.
+    What they leave is added up in eight columns of eight lanes of a byte: column k counts the bits k, k + 8, ...
+    """
+    digits = {0: inputs}
+    for layer in range(2):
+        made, after = [], {}
+        for weight, cols in sorted(digits.items()):
+            for g in range(0, len(cols) - 2, 3):
+                a, b, c = (F.col(x) for x in cols[g : g + 3])
+                at = len(made)
+                made += [a.bitwiseXOR(b).bitwiseXOR(c).alias(f"s{layer}_{at}"), a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(a.bitwiseXOR(b))).alias(f"c{layer}_{at}")]
+                after.setdefault(weight, []).append(f"s{layer}_{at}")
+                after.setdefault(weight + 1, []).append(f"c{layer}_{at}")
+            rest = cols[len(cols) // 3 * 3 :]
+            after.setdefault(weight, []).extend(rest)
+            made += [F.col(x) for x in rest]
+        rows, digits = rows.select(*keep, *made), after
+    lanes = lambda n: F.lit(sum(n << 8 * j for j in range(8))).cast("long")
+    counts = []
     for k in range(8):
-        inside = sums[k][start + count] - sums[k][start] + half
-        out |= ((inside >> np.uint64(6)) & _LANES) << np.uint64(k)
-    return out
-
-
-class Index:
-    """Fingerprints of items' windows by class, each block's near values pointing at them."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        """``items``: (code, text). An item of many more words than the widest class has windows at its begin,
-        middle and end: at each a whole stride of them."""
-        made: dict[int, list[tuple[int, int, int]]] = {}
-        run = stride(CLASSES[-1])
-        for code, text in items:
-            h = word_hashes(text)
-            c = window_class(len(h))
-            span = len(h) - c
-            places = np.arange(span + 1) if span < 3 * run else np.concatenate([at + np.arange(run) for at in (0, span // 2, span - run + 1)])
-            for place, fingerprint in zip(places.tolist(), fingerprints(running(h if c == 1 else pair_hashes(h)), places, max(c - 1, 1)).tolist(), strict=True):
-                made.setdefault(c, []).append((fingerprint, code, place))
-        self.classes = sorted(made)
-        self.of = {c: self._indexed(rows) for c, rows in made.items()}
-
-    @staticmethod
-    def _indexed(rows: list[tuple[int, int, int]]) -> tuple:
-        print_, code, place = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        tables = []
-        for block in range(BLOCKS):
-            shift, bits = block * WIDTH, min(WIDTH, BITS - block * WIDTH)
-            masks = np.array([sum(1 << j for j in some) for n in range(ERRORS + 1) for some in combinations(range(bits), n)], np.uint64)
-            value = (print_ >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-            near = (value[:, None] ^ masks[None, :]).astype(np.int64).ravel()
-            order = np.argsort(near, kind="stable")
-            tables.append((np.uint64(shift), np.uint64((1 << bits) - 1), np.searchsorted(near[order], np.arange((1 << bits) + 1)), (order // len(masks)).astype(np.int32)))
-        return print_, code, place, tables
-
-    def near(self, c: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (position in ``prints``, item window) within the radius."""
-        print_, _, _, tables = self.of[c]
-        found = []
-        for shift, mask, first, entries in tables:
-            value = ((prints >> shift) & mask).astype(np.int64)
-            low = first[value]
-            n = first[value + 1] - low
-            which = np.repeat(np.arange(len(prints)), n)
-            entry = entries[np.arange(len(which)) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)] if len(which) else np.zeros(0, np.int32)
-            good = np.bitwise_count(prints[which] ^ print_[entry]) <= RADIUS
-            found.append(which[good] * len(print_) + entry[good])
-        pairs = np.unique(np.concatenate(found))
-        return pairs // len(print_), pairs % len(print_)
-
-    def search(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes of texts -> (text, code, place): there the item would begin, by one of its windows."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        base = np.r_[0, np.cumsum(sizes)]
-        h = np.concatenate([*texts, np.zeros(0, np.uint64)])
-        sums = {False: running(pair_hashes(h)) if len(h) else None, True: running(h) if 1 in self.classes else None}
-        out = []
-        for c in self.classes:
-            fit = np.flatnonzero(sizes >= c)
-            if not len(fit):
-                continue
-            step, last = stride(c), sizes[fit] - c
-            n = last // step + 1
-            start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
-            owner = np.repeat(fit, n)
-            start, owner = np.r_[start, last], np.r_[owner, fit]  # and the text's last window
-            pos, window = self.near(c, fingerprints(sums[c == 1], base[owner] + start, max(c - 1, 1)))
-            _, code, place, _ = self.of[c]
-            out.append(np.stack([owner[pos], code[window], start[pos] - place[window]], axis=1))
-        got = np.unique(np.concatenate([*out, np.zeros((0, 3), np.int64)]), axis=0)
-        return got[:, 0], got[:, 1], got[:, 2]
-
-
-def candidates(docs: DataFrame, index: Index, text_col: str, id_col: str) -> DataFrame:
-    """id, code and place of every item window near a document's."""
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = T.StructType([source.schema["id"], T.StructField("code", T.LongType()), T.StructField("place", T.IntegerType())])
-    overlap = CLASSES[-1] + stride(CLASSES[-1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, rows, shift, held = [], [], [], 0
-
-            def flush():
-                owner, code, place = shared.value.search(parts)
-                at = np.array(rows, np.int64)[owner] if len(owner) else owner
-                moved = place + np.array(shift, np.int64)[owner] if len(owner) else place
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(code), pa.array(moved.astype(np.int32))], names=["id", "code", "place"])
-
-            for row, text in enumerate(texts_of(batch, "__text")):
-                h = word_hashes(text)
-                for a in range(0, max(len(h), 1), PART):  # a very long text in parts that overlap by a window and more
-                    parts.append(h[a : a + PART + overlap])
-                    rows.append(row)
-                    shift.append(a)
-                    held += len(parts[-1])
-                    if held >= PART:
-                        yield flush()
-                        parts, rows, shift, held = [], [], [], 0
-            yield flush()
-
-    return source.mapInArrow(run, schema)
+        total = F.lit((64 - len(inputs) // 2) * 0x0101010101010101).cast("long")  # half of the inputs reach bit 6 of a lane
+        for weight, cols in digits.items():
+            for x in cols:
+                one = F.shiftrightunsigned(x, k).bitwiseAND(lanes(1))
+                total = total + (F.shiftleft(one, weight) if weight else one)
+        counts.append(F.shiftleft(F.shiftrightunsigned(total.bitwiseAND(lanes(64)), 6), k).alias(f"bits{k}"))
+    rows = rows.select(*keep, *counts)
+    every = F.col("bits0")
+    for k in range(1, 8):
+        every = every.bitwiseOR(F.col(f"bits{k}"))
+    return rows.select(*keep, every.alias("print"))
+
+
+def features(rows: DataFrame, keep: list[str], singles: bool) -> DataFrame:
+    """``keep``, n, pairs (hashes of neighbouring words) and, for windows of one word, singles of each row's ``words``."""
+    none = F.array().cast("array<bigint>")
+    pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)))).otherwise(none)
+    return rows.select(*keep, F.size("words").alias("n"), pairs.alias("pairs"), (F.transform("words", lambda w: F.xxhash64(w)) if singles else none).alias("singles"))
+
+
+def _laid(size: int, source: str, count: int, padding: list[int]):
+    def window(i: Column) -> Column:
+        cut = F.slice(F.col(source), i + 1, F.lit(count))
+        return F.struct(F.lit(size).alias("class"), i.cast("int").alias("start"), (F.concat(cut, F.array(*(F.lit(x).cast("long") for x in padding))) if padding else cut).alias("w"))
+
+    return window
+
+
+def prints(rows: DataFrame, classes: list[int], starts, keep: list[str]) -> DataFrame:
+    """``keep``, class, start and print of windows of the rows' features; ``starts(class)`` gives their places."""
+    wide = max(2, *(c - 1 + (c - 1) % 2 for c in classes))
+    every = []
+    for c in classes:
+        count = max(c - 1, 1)
+        ones = wide // 2 - -(-count // 2)  # what is padded leaves the majority as it is
+        none = F.array().cast("array<struct<class:int,start:int,w:array<bigint>>>")
+        laid = F.transform(starts(c), _laid(c, "pairs" if c > 1 else "singles", count, [-1] * ones + [0] * (wide - count - ones)))
+        every.append(F.when(F.col("n") >= c, laid).otherwise(none))
+    held = [*keep, "class", "start"]
+    laid = rows.select(*keep, F.inline(F.concat(*every) if len(every) > 1 else every[0]))
+    taken = [F.coalesce(F.get("w", F.lit(k)), F.lit(0).cast("long")).alias(f"w{k}") for k in range(wide)]
+    return majority(laid.select(*held, *taken), [f"w{k}" for k in range(wide)], held)
+
+
+def block_keys(near: bool) -> Column:
+    """An array of join keys (class, block, value) of ``print``; with ``near`` also those one bit away."""
+    keys = []
+    for block in range(BLOCKS):
+        value = F.shiftrightunsigned("print", block * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
+        base = F.shiftleft(F.col("class").cast("long") * F.lit(BLOCKS).cast("long") + F.lit(block).cast("long"), WIDTH)
+        keys += [base.bitwiseOR(value.bitwiseXOR(F.lit(mask).cast("long"))) for mask in [0, *(1 << j for j in range(WIDTH) if near)]]
+    return F.array(*keys)
+
+
+def item_index(items: DataFrame, classes: list[int]) -> DataFrame:
+    """key, item_print, code and shift (the window's first word in the item) of the items' windows."""
+    index = None
+    for c in classes:
+        span, stretch = F.col("n") - c, c + STRIDE[c] - 1
+
+        def places(_, span=span, stretch=stretch, step=STRIDE[c]):
+            every = F.sequence(F.lit(0), span)
+            return F.when(span < 2 * stretch, every).otherwise(F.filter(every, lambda o: (o % stretch < step) | (o > span - step)))
+
+        own = prints(features(items.where(F.col("class") == c), ["code"], c == 1), [c], places, ["code"])
+        index = own if index is None else index.union(own)
+    return index.select(F.explode(block_keys(True)).alias("key"), F.col("print").alias("item_print"), "code", F.col("start").alias("shift"))
+
+
+def candidates(docs: DataFrame, items: DataFrame, classes: list[int]) -> DataFrame:
+    """id, code and place: where a window of a document (id, words) lies within the radius of an item's, the item would begin at place."""
+    whole = features(docs, ["id"], 1 in classes)
+    overlap = max(classes)
+    cut = lambda name, b: F.slice(name, b + 1, F.lit(PART + overlap - 1)).alias(name)
+    parts = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PART)), lambda b: F.struct(b.alias("base"), F.least(F.col("n") - b, F.lit(PART + overlap - 1)).alias("n"), cut("pairs", b), cut("singles", b)))
+    parts = F.when(F.col("n") > 0, parts).otherwise(F.array().cast("array<struct<base:int,n:int,pairs:array<bigint>,singles:array<bigint>>>"))
+    last = lambda c: F.least(F.lit(PART - 1), F.col("n") - c)
+    starts = lambda c: F.sequence(F.lit(0), last(c)) if STRIDE[c] == 1 else F.array_union(F.sequence(F.lit(0), last(c), F.lit(STRIDE[c])), F.array(last(c)))
+    windows = prints(whole.select("id", F.inline(parts)), classes, starts, ["id", "base"])
+    keyed = windows.select("id", (F.col("base") + F.col("start")).alias("start"), "print", F.explode(block_keys(False)).alias("key"))
+    index = F.broadcast(item_index(items, classes))  # of about ITEMS_AT_ONCE items at most
+    near = keyed.join(index, "key").where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    return near.select("id", "code", (F.col("start") - F.col("shift")).alias("place")).distinct()
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -208,13 +178,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     counts, and an item without id is reported with a null one. Of equally good windows the first counts.
     """
     hashes = lambda text: F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
-    named = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"), hashes(item_text).alias("h")).withColumn("code", F.xxhash64("h"))
+    named = benchmark.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("item_words"), hashes(item_text).alias("h")).withColumn("code", F.xxhash64("h"))
     items = named.where(F.size("h") > 0).dropDuplicates(["code"])
-    times = max(-(-items.count() // ITEMS_AT_ONCE), 1)
-    found = None
+    items = items.select("code", "h", "item_words", window_class(F.size("h")).alias("class"))
+    known = items.agg(F.count("*").alias("n"), F.collect_set("class").alias("classes")).first()
+    times = max(-(-known["n"] // ITEMS_AT_ONCE), 1)
+    texts, found = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")), None
     for k in range(times):  # a benchmark of many items is searched for in blocks
-        block = items.where(F.pmod(F.xxhash64("code"), F.lit(times)) == k).select("code", "text").collect()
-        own = candidates(docs, Index(sorted((r[0], r[1].encode()) for r in block)), text_col, id_col)
+        block = items.select("code", F.col("item_words").alias("words"), "class").where(F.pmod(F.xxhash64("code"), F.lit(times)) == k)
+        own = candidates(texts, block, sorted(known["classes"]) or [1])
         found = own if found is None else found.union(own)
     found = settle(found.distinct())
     # exact comparison, around each candidate
