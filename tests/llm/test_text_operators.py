@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import decontamination, langid, mixing, neardup, quality_classifier, quality_rules, secrets, substring_dedup, token_count, toxicity
 
@@ -138,17 +139,11 @@ def test_markov_ratio_equals_a_plain_computation(spark):
             counts[label][a, b] += 1
     logs = lambda label, a, b: np.log(counts[label][a, b] / sum(counts[label][a, c] for c in secrets.ALPHABET))
     tokens = ["abcd", "x9Qx", "abQ9/c", "=_-+"]
-    got = spark.createDataFrame([(t,) for t in tokens], "t string").select(secrets.ratio_of(spark_column("t"), ratio).alias("r")).collect()
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select(secrets.ratio_of(F.col("t"), ratio).alias("r")).collect()
     for t, r in zip(tokens, got, strict=True):
         assert r.r == pytest.approx(np.mean([logs(1, a, b) - logs(0, a, b) for a, b in zip(t, t[1:], strict=False)]), abs=1e-5)
 
 
-def spark_column(name):
-    from pyspark.sql import functions as F
-
-    return F.col(name)
-
-
 def test_markov_models_find_random_strings_outside_the_patterns(spark, docs, empty):
     ratio = secrets.fit(docs)
     rng = np.random.default_rng(8)
@@ -523,23 +518,29 @@ def test_decontamination_finds_edited_and_short_items(spark):
     assert len(got) >= 0.995 * len(want), sorted(set(want) - got)[:20]
 
 
-def test_fingerprints_are_majorities_and_the_index_is_complete():
+def test_fingerprints_are_majorities(spark):
     rng = np.random.default_rng(2)
-    h = rng.integers(0, 2**64, 300, dtype=np.uint64)
-    for count in (1, 2, 7, 31, 63):
-        start = np.arange(0, 300 - count, 5)
-        got = decontamination.fingerprints(decontamination.running(h), start, count)
-        for s, p in zip(start.tolist(), got.tolist(), strict=True):
-            assert p == sum((2 * sum(int(x) >> b & 1 for x in h[s : s + count]) >= count) << b for b in range(64))
-    index = decontamination.Index([(k, " ".join(f"w{k}x{j}" for j in range(20)).encode()) for k in range(8)])
-    (c,) = index.classes
-    own = index.of[c][0]
-    probes = own.repeat(40)
-    for k in range(len(probes)):
-        for bit in rng.choice(64, int(rng.integers(0, 17)), replace=False):
-            probes[k] ^= np.uint64(1) << np.uint64(bit)
-    got = set(zip(*(x.tolist() for x in index.near(c, probes)), strict=True))
-    assert got == {(i, j) for i, p in enumerate(probes) for j, q in enumerate(own) if int(p ^ q).bit_count() <= decontamination.RADIUS}
+    for count in (2, 12, 24, 48):
+        rows = [tuple(int(x) for x in r) for r in rng.integers(-(2**63), 2**63, (40, count))]
+        names = [f"w{k}" for k in range(count)]
+        df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, " + ", ".join(f"{n} long" for n in names))
+        for r in decontamination.majority(df, names, ["k"]).collect():
+            assert r.print % 2**64 == sum((2 * sum(x >> b & 1 for x in rows[r.k]) >= count) << b for b in range(64))
+
+
+def test_blocks_find_every_fingerprint_within_the_radius(spark):
+    rng = np.random.default_rng(4)
+    own = [int(x) for x in rng.integers(-(2**63), 2**63, 30)]
+    probes = []
+    for k in range(600):
+        x = own[k % 30] % 2**64
+        for bit in rng.choice(64, int(rng.integers(0, 12)), replace=False):
+            x ^= 1 << int(bit)
+        probes.append(x - 2**64 if x >= 2**63 else x)
+    keyed = lambda xs, near: spark.createDataFrame([(k, x, 12) for k, x in enumerate(xs)], "i int, print long, class int").select("i", F.explode(decontamination.block_keys(near)).alias("key"))
+    got = {(r.i, r.j) for r in keyed(probes, False).join(keyed(own, True).withColumnRenamed("i", "j"), "key").collect()}
+    want = {(i, j) for i, p in enumerate(probes) for j, q in enumerate(own) if ((p ^ q) % 2**64).bit_count() <= decontamination.RADIUS}
+    assert want <= got and len(want) > 300
 
 
 def test_decontamination_edges(spark, edges, empty):
