@@ -21,6 +21,7 @@ Every link is confirmed on full sets. A pair of similarity 0.8 is missed with a
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,17 +142,37 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def _slack(both: np.ndarray, width: int) -> np.ndarray:
-    """Differing bits that collisions in a bitmap of ``width`` words may hide, but for a chance of about 1e-12."""
-    hidden = (0.12 * both) ** 2 / (64 * width)
-    return 4 * (hidden + 8 * np.sqrt(hidden) + 12)
-
-
-def block_candidates(block: pa.Table, percent: int) -> pa.Table:
+def forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of edges that join what all of them join: every component takes its heaviest edge, round by round."""
+    names, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
+    x, y = ends[: len(left)], ends[len(left) :]
+    label, order, taken = np.arange(len(names)), np.argsort(weight, kind="stable"), []
+    while True:
+        order = order[label[x[order]] != label[y[order]]]
+        if not len(order):
+            return np.unique(np.concatenate([*taken, np.zeros(0, np.int64)])).astype(np.int64)
+        heaviest = np.full(len(names), -1)
+        for side in (x, y):
+            best = np.full(len(names), -1)
+            best[label[side[order]]] = np.arange(len(order))  # of equal places the last one stays, which is the heaviest
+            heaviest = np.maximum(heaviest, best)
+        edges = order[np.unique(heaviest[heaviest >= 0])]
+        taken.append(edges)
+        while True:  # the lowest label spreads over the edges taken
+            low = np.minimum(label[x[edges]], label[y[edges]])
+            spread = label.copy()
+            np.minimum.at(spread, label[x[edges]], low)
+            np.minimum.at(spread, label[y[edges]], low)
+            if (spread[label] == label).all():
+                break
+            label = spread[label]
+
+
+def block_candidates(block: pa.Table, percent: int, layers: int = 1) -> pa.Table:
     """Pairs (a, b) of one block of a node that may reach the threshold, between different components.
 
-    Of two components all pairs close to the threshold are given, and of those clearly beyond it the
-    closest one alone: it joins the two, so the others add nothing.
+    Of all of them ``layers`` disjoint forests over the components are given, closest pairs first: where
+    they are confirmed the others join nothing more. If any pair is left out, a row of -1 says so.
     """
     i, j, own, ids, n, component = (block.column(c).to_numpy() for c in ("i", "j", "own", "id", "n", "component"))
     by_width: dict[int, tuple[list[int], list[bytes]]] = {}
@@ -160,8 +181,7 @@ def block_candidates(block: pa.Table, percent: int) -> pa.Table:
         at.append(k)
         parts.append(b)
     groups = {w: (np.array(at), np.frombuffer(b"".join(parts), np.uint64).reshape(-1, w)) for w, (at, parts) in by_width.items()}
-    found: list[tuple[np.ndarray, ...]] = []
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    hits: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for w1, (at1, bits1) in groups.items():
         for w2, (at2, bits2) in groups.items():
             left, right = own[at1] == i[at1], own[at2] == j[at2]
@@ -176,27 +196,27 @@ def block_candidates(block: pa.Table, percent: int) -> pa.Table:
                 both = n[k] + n[y[near]]
                 apart = np.bitwise_count(two[near] ^ row).sum(axis=1, dtype=np.int64)
                 spare = (100 - percent) * both - (100 + percent) * apart  # from 0 on the pair may reach the threshold
-                hit = spare >= 0
-                if not hit.any():
-                    continue
-                other, spare = y[near[hit]], spare[hit] / (100 + percent)
-                close = spare < _slack(both[hit], width)
-                found.append((np.minimum(ids[k], ids[other[close]]), np.maximum(ids[k], ids[other[close]])))
-                for m, s in zip(other[~close].tolist(), spare[~close].tolist(), strict=True):
-                    key = (min(component[k], component[m]), max(component[k], component[m]))
-                    if key not in best or s > best[key][0]:
-                        best[key] = (s, min(ids[k], ids[m]), max(ids[k], ids[m]))
-    a = np.concatenate([np.array([b[1] for b in best.values()], np.int64), *(f[0] for f in found)])
-    b = np.concatenate([np.array([b[2] for b in best.values()], np.int64), *(f[1] for f in found)])
-    return pa.table({"a": a, "b": b})
-
-
-def _block_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each node between its components that may reach the threshold, by blocks of about ``BLOCK`` members."""
+                hit = np.flatnonzero(spare >= 0)
+                if len(hit):
+                    hits.append((np.full(len(hit), k), y[near[hit]], spare[hit] / both[hit]))
+    x, y, weight = (np.concatenate(part) for part in zip(*hits, strict=True))
+    rest, taken = np.arange(len(x)), [np.zeros(0, np.int64)]
+    for _ in range(layers):
+        if len(rest):
+            some = rest[forest(component[x[rest]], component[y[rest]], weight[rest])]
+            taken.append(some)
+            rest = np.setdiff1d(rest, some, assume_unique=True)
+    at, more = np.concatenate(taken), [-1] if len(rest) else []
+    a, b = ids[x[at]], ids[y[at]]
+    return pa.table({"a": np.r_[np.minimum(a, b), more].astype(np.int64), "b": np.r_[np.maximum(a, b), more].astype(np.int64)})
+
+
+def _block_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int, layers: int) -> DataFrame:
+    """What ``block_candidates`` gives of each node, by blocks of about ``BLOCK`` members."""
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
     dealt = rows.select("id", "n", "component", "node", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     held = dealt.join(bitmaps, "id").select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", F.col("value").alias("bits"))
-    return held.groupBy("node", "i", "j").applyInArrow(lambda block: block_candidates(block, percent), "a long, b long")
+    return held.groupBy("node", "i", "j").applyInArrow(lambda block: block_candidates(block, percent, layers), "a long, b long")
 
 
 class _Join:
@@ -210,15 +230,23 @@ class _Join:
         # ids are given once: the table is settled, and whatever comes later reads it
         self.classes = settle(grouped.select(F.monotonically_increasing_id().alias("id"), "lo", "hi", "n", F.col("rep.doc").alias("doc"), F.xxhash64("rep.doc", "rep.th").alias("rep"), "nodes"))
         self.texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("rep"), F.col(text_col).alias("__text"))
-        self.links = None
+        self.links = self.store = None
 
     def of_classes(self, ids: DataFrame, made, kind: str) -> DataFrame:
         """(id, value): what ``made`` makes of the sets of these classes; ``ids`` may carry more columns for it."""
+        rows = self.store.join(ids, "id") if self.store is not None else self.with_texts(ids)
+        return settle(_sets(rows.select("id", "lo", "hi", "__text", *(c for c in ids.columns if c != "id")), self.words_each, made, kind))
+
+    def with_texts(self, ids: DataFrame) -> DataFrame:
+        """``ids`` with lo, hi and one text of each class: a pass over all texts."""
         wanted = settle(self.classes.select("id", "lo", "hi", "rep").join(ids, "id"))
         rows = self.texts.join(wanted, "rep").drop("rep")
         # rows alike in id and text are one
-        once = rows.groupBy("id").agg(*(F.any_value(c).alias(c) for c in rows.columns if c != "id"))
-        return settle(_sets(once.select("id", "lo", "hi", "__text", *(c for c in ids.columns if c != "id")), self.words_each, made, kind))
+        return rows.groupBy("id").agg(*(F.any_value(c).alias(c) for c in rows.columns if c != "id"))
+
+    def narrow(self, ids: DataFrame) -> None:
+        """From now on only these classes are asked for: their texts are put by."""
+        self.store = settle(self.with_texts(ids))
 
     def near_size(self) -> Column:
         return 100 * F.least("n", "n2") >= self.percent * F.greatest("n", "n2")
@@ -231,16 +259,23 @@ class _Join:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("value").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("value").alias("tb")), "b")
         shared = F.size(F.array_intersect("ta", "tb"))
         good = settle(both.where(100 * shared >= self.percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
-        self.links = good if self.links is None else self.links.union(good)
-        return settle(components(self.links, hubs=True).withColumnRenamed("node", "id"))
+        self.good, self.links = good, good if self.links is None else self.links.union(good)
+        of = settle(components(self.links, hubs=True).withColumnRenamed("node", "id"))
+        # shuffles and checkpoints of the rounds go from the disks once the driver has let them go
+        del pairs, ids, sets, both, good
+        gc.collect()
+        of.sparkSession.sparkContext._jvm.System.gc()
+        return of
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """Rows (id, n, node) of nodes with company, with the node's count and a pivot picked by hash.
+    """Rows (id, n, node) of nodes with company, with the node's count and a pivot.
 
+    The pivot is the class of lowest number, mostly the same one in the nodes of a group in all trees, so that
+    the trees ask for the same pairs.
     Counts are settled, so the join is one of plain exchanges and a hot node can be split.
     """
-    pick = F.min(F.struct(F.xxhash64("id", "node").alias("h"), F.col("id").alias("pivot"), F.col("n").alias("n2")))
+    pick = F.min(F.struct(F.col("id").alias("pivot"), F.col("n").alias("n2")))
     nodes = settle(rows.groupBy("node").agg(F.count("*").alias("c"), pick.alias("p")).where("c > 1").select("node", "c", "p.pivot", "p.n2"))
     return settle(rows.join(nodes, "node"))
 
@@ -267,16 +302,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     of = join.confirm(stars)
     rows = top.drop("pivot", "n2")
     while not (rows := unsettled(rows, of)).isEmpty():
+        if join.store is None:
+            join.narrow(rows.select("id").distinct())
         small = rows.where(F.col("c") <= SMALL)
         other = small.select("node", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
         pairs = small.join(other, "node").where("id < id2 AND component != component2").where(join.near_size()).select(F.col("id").alias("a"), F.col("id2").alias("b"))
         large, below = rows.where(F.col("c") > SMALL), None
         if not large.isEmpty():
             dense, below = _branch(join, large)
-            if not dense.isEmpty():
-                bitmaps = join.of_classes(dense.select("id").distinct(), lambda tokens: bitmap(tokens).tobytes(), "binary")
-                pairs = pairs.union(_block_pairs(dense, bitmaps, percent))
-        of = join.confirm(pairs)
+            of = _compare(join, pairs, dense)
+        else:
+            of = join.confirm(pairs)
         if below is None:
             break
         rows = members(below).drop("pivot", "n2")
@@ -289,6 +325,26 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return linked.union(alone)
 
 
+def _compare(join: _Join, pairs: DataFrame, dense: DataFrame) -> DataFrame:
+    """Links among these pairs and within dense nodes, by blocks; gives the components after them.
+
+    A forest of candidates is asked for first. Only where some of them prove no links and others were left out
+    are more forests asked for, of what is then still in parts, until every candidate was looked at or joined.
+    """
+    if dense.isEmpty():
+        return join.confirm(pairs)
+    bitmaps, layers = join.of_classes(dense.select("id").distinct(), lambda tokens: bitmap(tokens).tobytes(), "binary"), 1
+    while True:
+        found = settle(_block_pairs(dense, bitmaps, join.percent, layers).distinct())
+        asked = found.where("a >= 0")
+        of = join.confirm(asked.union(pairs) if layers == 1 else asked)
+        if found.where("a < 0").isEmpty() or asked.join(join.good, ["a", "b"], "left_anti").isEmpty():
+            return of
+        dense, layers = unsettled(dense.drop("component"), of), 4 * layers
+        if dense.isEmpty():
+            return of
+
+
 def _branch(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of dense large nodes, and the rows (id, n, node) of the others one step further down."""
     paths = large.groupBy("id").agg(F.collect_set("node").alias("nodes"))  # nodes of one class: a few a tree

@@ -258,6 +258,24 @@ def test_bitmaps_bound_the_difference_of_sets():
         assert apart <= len(np.setxor1d(a, b))
 
 
+def test_forests_join_what_all_edges_join():
+    rng = np.random.default_rng(6)
+    for n in (2, 10, 200):
+        x, y = rng.integers(0, n, (2, 3 * n))
+        x, y = x[x != y], y[x != y]
+        weight = rng.integers(0, 4, len(x)).astype(float)
+        got = neardup.forest(x, y, weight)
+
+        def parts(edges, n=n, x=x, y=y):
+            label = np.arange(n)
+            for _ in range(n):
+                for e in edges:
+                    label[label == max(label[x[e]], label[y[e]])] = min(label[x[e]], label[y[e]])
+            return label.tolist()
+
+        assert parts(got.tolist()) == parts(range(len(x))) and len(got) < n
+
+
 def test_near_duplicates_edges(edges, empty):
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.query(edges).collect()))
     assert got[:3] == [(False, 1, 0, 1, True), (False, 2, 0, 2, True), (False, 3, 0, 3, True)]
