@@ -1,6 +1,7 @@
 """Each text operator against brute force, held-out accuracy or an exact rule, and on edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -479,6 +480,37 @@ def test_repeats_find_shared_passages(spark, edges, empty):
     assert substring_dedup.query(empty).count() == 0 and substring_dedup.query(edges).count() == 1  # the repeated row
 
 
+def test_repeats_against_brute_force(spark):
+    """Spans are repeats byte by byte, passages of 51 words and more are found, nothing else is."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprstuvwäö", k=rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(60, 400))) for _ in range(900)]
+    planted = {}
+    for k in range(300):
+        passage = " ".join(word() for _ in range(rng.randint(51, 90)))
+        for d in (k, 300 + k):
+            own = texts[d].split(" ")
+            at = rng.randrange(len(own) + 1)
+            texts[d] = " ".join([*own[:at], passage, *own[at:]])
+        planted[300 + k] = (k, passage.encode())
+    got = defaultdict(list)
+    for r in substring_dedup.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.doc_id in planted and r.first_doc_id == planted[r.doc_id][0]
+        span = texts[r.doc_id].encode()[r.start_byte : r.end_byte]
+        assert len(span) >= 120 and span in texts[r.first_doc_id].encode()
+        got[r.doc_id].append(span)
+    assert len(got) >= 0.99 * len(planted)
+
+
+def test_repeats_of_rows_without_id(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    shared, big = text(80), 2**53 + 1
+    rows = [(None, text(50) + " " + shared), (None, shared + " " + text(50)), (None, text(90)), (big, text(20) + " " + shared), (None, None), (5, "")]
+    got = substring_dedup.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.first_doc_id) for r in got) == [(False, big, None), (True, 0, None)]
+
+
 def brute_contaminated(texts, items):
     """{(doc, item): (similarity, first word)} over every placing of every item."""
     found = {}
