@@ -94,6 +94,21 @@ def flood(value: np.ndarray, inside: np.ndarray, markers: np.ndarray, periodic:
     return out
 
 
+def near_markers(marked: np.ndarray, reach: int) -> np.ndarray:
+    """Whether a marked cell stands within ``reach``: squared distances are lowered axis by axis, exact up to the reach."""
+    far = np.where(marked, 0.0, np.inf)
+    for axis, n in enumerate(marked.shape):
+        low = far.copy()
+        for k in range(1, min(reach, n - 1) + 1):
+            head, tail = [slice(None)] * far.ndim, [slice(None)] * far.ndim
+            head[axis], tail[axis] = slice(None, -k), slice(k, None)
+            head, tail = tuple(head), tuple(tail)
+            low[head] = np.minimum(low[head], far[tail] + k * k)
+            low[tail] = np.minimum(low[tail], far[head] + k * k)
+        far = low
+    return far <= reach * reach
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row in the cheapest complete assignment of rows (rows <= columns); potentials and augmenting paths."""
     n, m = cost.shape
@@ -136,6 +151,38 @@ def match_points(d2: np.ndarray, radius: float) -> list[tuple[int, int]]:
     return [(i, int(got[i])) for i in range(n) if got[i] < m and d2[i, got[i]] <= radius * radius]
 
 
+def match_within(a: np.ndarray, b: np.ndarray, d: np.ndarray, reach: float, most: int, step: float | None = None, stop: float | None = None) -> list[tuple[int, int]]:
+    """Links among candidate pairs (a, b) at distance d: the cheapest assignment in each contest.
+
+    A contest with more than ``most`` features on a side raises, or is tried again within ``step`` times
+    the reach, down to ``stop``.
+    """
+    near = d <= reach
+    left, x = np.unique(a[near], return_inverse=True)
+    right, y = np.unique(b[near], return_inverse=True)
+    if not len(x):
+        return []
+    d, node = d[near], components(len(left) + len(right), x, y + len(left))
+    order = np.argsort(node[x], kind="stable")
+    bounds = np.flatnonzero(np.diff(node[x][order], prepend=-1, append=-1))
+    links = []
+    for own in (order[i:j] for i, j in itertools.pairwise(bounds)):
+        rows, r = np.unique(x[own], return_inverse=True)
+        cols, k = np.unique(y[own], return_inverse=True)
+        largest = max(len(rows), len(cols))
+        if largest > most:
+            if step is None:
+                raise ValueError(f"{largest} features contest their links, more than {most}; shorten the search radius or use adaptive search")
+            if reach * step < stop:
+                raise ValueError("adaptive search reached its stop with too many contested features")
+            links += match_within(left[x[own]], right[y[own]], d[own], reach * step, most, step, stop)
+            continue
+        d2 = np.full((len(rows), len(cols)), np.inf)
+        d2[r, k] = d[own] ** 2
+        links += [(left[rows[i]], right[cols[j]]) for i, j in match_points(d2, reach)]
+    return links
+
+
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
     reach = int(truncate * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)

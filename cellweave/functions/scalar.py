@@ -67,6 +67,25 @@ def unwrap(x, size: float) -> Column:
     return F.when(c(x) < size / 2, c(x) + size).otherwise(c(x))
 
 
+def periodic_boxes(low: Column, high: Column, size: int, periodic: bool) -> Column:
+    """Array of {start, stop} inside [0, size) that cover [low, high): cut off, or on a periodic axis wrapped."""
+    low, high = c(low), c(high)
+    box = lambda a, b: F.struct(F.lit(a).cast("int").alias("start"), F.lit(b).cast("int").alias("stop"))
+    if not periodic:
+        return F.array(box(F.greatest(low, F.lit(0)), F.least(high, F.lit(size))))
+    return (
+        F.when(high - low >= size, F.array(box(0, size)))
+        .when(low < 0, F.array(box(0, high), box(low + size, size)))
+        .when(high > size, F.array(box(low, size), box(0, high - size)))
+        .otherwise(F.array(box(low, high)))
+    )
+
+
+def same_time_kind(dates, target: str) -> Column:
+    """Times in the type a column of Spark type ``target`` has: ``string``, ``date`` or a timestamp."""
+    return to_time(dates, {"string": "text", "date": "date"}.get(target, "timestamp"))
+
+
 def circular_mean(x, weight, low: float, high: float) -> Column:
     """Aggregate: weighted mean on a circle from low to high; where directions cancel, the middle."""
     turn = 2 * math.pi

@@ -12,6 +12,7 @@ from ..functions import kernels
 from ..functions.scalar import circular_mean, distance, periodic_axes, ravel
 from ..sources.grid import axes_of
 from .graph import components, settle
+from .stats import statistics
 
 POSITIONS = ("center", "extreme", "weighted_diff", "weighted_abs")
 
@@ -221,30 +222,35 @@ def filter_min_distance(features: DataFrame, min_distance: float, dxy: float = 1
     return features.join(worse, ["frame", "feature"], "left_anti")
 
 
-def detect(field: DataFrame, shape: dict[str, int], thresholds: float | list[float], target: str = "maximum", position: str = "center", sigma: float = 0.0, n_min: int | list[int] | dict[float, int] = 0, erosion: int = 0, pbc: str = "none", strict: bool = False, start: int = 1, wavelength: tuple[float, float] | None = None, dxy: float = 1.0, min_distance: float | None = None, tile: int | None = None) -> DataFrame:
-    """Features of a field: frame, idx, hdim_1, hdim_2, [vdim], num, threshold_value, feature, time. Nothing found: no rows."""
-    cells, found = _found(field, shape, thresholds, target, position, sigma, n_min, erosion, pbc, strict, start, wavelength, dxy, tile)
-    if min_distance is not None:
-        found = filter_min_distance(found, min_distance, dxy, dxy, target, {a: shape[a] - 1 for a in periodic_axes(pbc)})
-    return found.drop("label", "rank")
+def detect(field: DataFrame, shape: dict[str, int], thresholds: float | list[float], target: str = "maximum", position: str = "center", sigma: float = 0.5, n_min: int | list[int] | dict[float, int] = 0, erosion: int = 0, pbc: str = "none", strict: bool = False, start: int = 1, wavelength: tuple[float, float] | None = None, dxy: float = 1.0, min_distance: float | None = None, tile: int | None = None, statistic: dict | None = None, statistics_unsmoothed: bool = False) -> DataFrame:
+    """Features of a field: frame, idx, hdim_1, hdim_2, [vdim], num, threshold_value, feature, time. Nothing found: no rows.
+
+    ``statistic`` adds columns over the cells of each feature, as ``stats.statistics`` takes them, of the
+    smoothed field or with ``statistics_unsmoothed`` of the field itself. With ``tile`` no task holds a
+    frame, but for a ``wavelength`` band, which needs whole ones.
+    """
+    return detect_with_labels(field, shape, thresholds, target, position, sigma, n_min, erosion, pbc, strict, start, min_distance, dxy, tile, wavelength, statistic, statistics_unsmoothed)[0]
 
 
 def _found(field, shape, thresholds, target, position, sigma, n_min, erosion, pbc, strict, start, wavelength, dxy, tile):
     several = list(thresholds) if isinstance(thresholds, (list, tuple)) else [thresholds]
-    smoothed = smooth(field, shape, sigma)
+    smoothed = smooth_tiled(field, shape, sigma) if tile and sigma > 0 else smooth(field, shape, sigma)
     if wavelength:
         smoothed = spectral_filter(smoothed, shape, dxy, *wavelength)
     cells = regions(smoothed, shape, several, target, n_min, erosion, pbc, strict, tile)
     found = number(positions(cells, shape, position, target, pbc), ["rank", "label"], start)
     if "time" in field.columns:
         found = found.join(field.groupBy("frame").agg(F.min("time").alias("time")), "frame")
-    return cells, found
+    return smoothed, cells, found
 
 
-def detect_with_labels(field: DataFrame, shape: dict[str, int], thresholds, target: str = "maximum", position: str = "center", sigma: float = 0.0, n_min=0, erosion: int = 0, pbc: str = "none", strict: bool = False, start: int = 1, min_distance: float | None = None, dxy: float = 1.0, tile: int | None = None) -> tuple[DataFrame, DataFrame]:
+def detect_with_labels(field: DataFrame, shape: dict[str, int], thresholds, target: str = "maximum", position: str = "center", sigma: float = 0.5, n_min=0, erosion: int = 0, pbc: str = "none", strict: bool = False, start: int = 1, min_distance: float | None = None, dxy: float = 1.0, tile: int | None = None, wavelength: tuple[float, float] | None = None, statistic: dict | None = None, statistics_unsmoothed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Features, and the sparse label field (frame, cell, feature) of those that stayed."""
-    cells, found = _found(field, shape, thresholds, target, position, sigma, n_min, erosion, pbc, strict, start, None, dxy, tile)
+    smoothed, cells, found = _found(field, shape, thresholds, target, position, sigma, n_min, erosion, pbc, strict, start, wavelength, dxy, tile)
     if min_distance is not None:
         found = filter_min_distance(found, min_distance, dxy, dxy, target, {a: shape[a] - 1 for a in periodic_axes(pbc)})
     mask = cells.join(found.select("frame", "rank", "label", "feature"), ["frame", "rank", "label"]).select("frame", *shape, "feature")
-    return found.drop("label", "rank"), mask
+    found = found.drop("label", "rank")
+    if statistic is not None:
+        found = statistics(found, mask, field if statistics_unsmoothed else smoothed, statistic)
+    return found, mask

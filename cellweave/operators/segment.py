@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import kernels
 from ..functions.scalar import periodic_axes
 from .detect import beyond
+from .stats import statistics
 
 
 def seeds(features: DataFrame, shape: dict[str, int], how: str = "column", size: int | dict[str, int] = 5, level: tuple[int, int] | None = None, pbc: str = "none") -> DataFrame:
@@ -41,12 +42,13 @@ def seeds(features: DataFrame, shape: dict[str, int], how: str = "column", size:
     return out.withColumn("__near", near).groupBy("frame", *shape).agg(best.alias("feature"))
 
 
-def segment(features: DataFrame, field: DataFrame, shape: dict[str, int], threshold: float, target: str = "maximum", how: str = "column", size: int | dict[str, int] = 5, level: tuple[int, int] | None = None, max_distance: float | None = None, dxy: float = 1.0, pbc: str = "none") -> tuple[DataFrame, DataFrame]:
+def segment(features: DataFrame, field: DataFrame, shape: dict[str, int], threshold: float, target: str = "maximum", how: str = "column", size: int | dict[str, int] = 5, level: tuple[int, int] | None = None, max_distance: float | None = None, dxy: float = 1.0, pbc: str = "none", statistic: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """The sparse mask (frame, cell, feature), and the features with ``ncells`` (0 without a cell).
 
     Only cells beyond the threshold (not at it) and seeds are shipped to the per-frame flood. Neighbours
     share a face and meet over periodic edges. ``max_distance`` takes away cells farther than
-    ceil(max_distance / dxy) from the nearest seed cell inside the mask.
+    ceil(max_distance / dxy) from the nearest seed cell inside the mask. ``statistic`` adds columns over the
+    field under each feature, as ``stats.statistics`` takes them.
     """
     if max_distance is not None and pbc != "none":
         raise NotImplementedError("max_distance is for fields without periodic edges")
@@ -67,17 +69,14 @@ def segment(features: DataFrame, field: DataFrame, shape: dict[str, int], thresh
         mark = np.where(ok, mark, 0)
         got = kernels.flood(value, ok, mark, wrap)
         if reach is not None and mark.any():
-            far = np.full(dims, np.inf)
-            grid = np.indices(dims)
-            for point in zip(*np.nonzero(mark), strict=True):
-                far = np.minimum(far, sum((g - p) ** 2 for g, p in zip(grid, point, strict=True)))
-            got = np.where(far <= reach * reach, got, 0)
+            got = np.where(kernels.near_markers(mark > 0, reach), got, 0)
         hit = np.nonzero(got)
         return pd.DataFrame({"frame": cells["frame"].iloc[0], **{a: h for a, h in zip(axes, hit, strict=True)}, "feature": got[hit]})
 
     schema = "frame int, " + ", ".join(f"{a} int" for a in axes) + ", feature long"
     mask = inside.groupBy("frame").cogroup(marked.groupBy("frame")).applyInPandas(run, schema)
-    return mask, with_ncells(features, mask)
+    sized = with_ncells(features, mask)
+    return mask, sized if statistic is None else statistics(sized, mask, field, statistic)
 
 
 def with_ncells(features: DataFrame, mask: DataFrame) -> DataFrame:

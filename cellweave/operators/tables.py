@@ -88,11 +88,15 @@ def transform_points(features: DataFrame, grid: DataFrame, max_space: float, lev
     band = math.degrees(max_space / EARTH_RADIUS_M) * 1.0001
     rows = features.withColumnsRenamed({a: f"old_{a}" for a in axes_of(features)})
     lat_bin = lambda c: F.floor(F.col(c) / band)
-    points = grid.select("hdim_1", "hdim_2", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon")).withColumn("__b", F.explode(F.array(*(lat_bin("__lat") + k for k in (-1, 0, 1)))))
-    pairs = rows.select("feature", "latitude", "longitude", lat_bin("latitude").alias("__b")).join(points, "__b")
-    wide = F.abs(F.pmod(F.col("__lon") - F.col("longitude") + 180, F.lit(360.0)) - 180) * F.cos(F.radians(F.least(F.greatest(F.abs("__lat"), F.abs("latitude")), F.lit(89.9)))) <= band * 1.6
+    # a band's longitude cells are as wide as the limit reaches where its neighbours are nearest a pole
+    top = F.radians(F.greatest(F.abs((F.col("__b") - 1) * band), F.abs((F.col("__b") + 2) * band)))
+    count = F.when(top + math.radians(2 * band) >= math.pi / 2, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(top) / (1.6 * band))))
+    cell = lambda c: F.floor(F.pmod(F.col(c), F.lit(360.0)) * F.col("__n") / 360)
+    points = grid.select("hdim_1", "hdim_2", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon")).withColumn("__b", F.explode(F.array(*(lat_bin("__lat") + k for k in (-1, 0, 1))))).withColumn("__n", count)
+    points = points.withColumn("__c", F.explode(F.array_distinct(F.array(*(F.pmod(cell("__lon") + k, F.col("__n")) for k in (-1, 0, 1)))))).drop("__n")
+    pairs = rows.select("feature", "latitude", "longitude", lat_bin("latitude").alias("__b")).withColumn("__n", count).withColumn("__c", F.pmod(cell("longitude"), F.col("__n"))).join(points, ["__b", "__c"])
     d = haversine("latitude", "longitude", "__lat", "__lon", EARTH_RADIUS_M)
-    near = pairs.where(wide).withColumn("d", d).where(F.col("d") <= max_space)
+    near = pairs.withColumn("d", d).where(F.col("d") <= max_space)
     best = near.groupBy("feature").agg(F.min_by(F.struct("hdim_1", "hdim_2"), F.struct("d", "hdim_1", "hdim_2")).alias("p")).select("feature", F.col("p.hdim_1").cast("double").alias("hdim_1"), F.col("p.hdim_2").cast("double").alias("hdim_2"))
     out = rows.join(best, "feature", "left")
     close = F.col("hdim_1").isNotNull()

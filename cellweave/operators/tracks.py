@@ -50,6 +50,8 @@ def link(features: DataFrame, dt: float, dxy: float, v_max: float | None = None,
     distances. Without memory this is distributed: bucketed candidate pairs, components of contested ones,
     an exact assignment in each, and cells as components of the links. ``predict`` searches around the
     place that the last step's velocity points to; it, and memory, walk the frames in order in one group.
+    More than ``subnetwork_size`` features on a side of a contest raise, or are tried again within
+    ``adaptive_step`` times the radius down to ``adaptive_stop``.
     """
     if extrapolate:
         raise NotImplementedError("extrapolation is not available")
@@ -65,7 +67,7 @@ def link(features: DataFrame, dt: float, dxy: float, v_max: float | None = None,
     if method == "random" and memory == 0:
         chained = _link_distributed(points, axes, radius, period, adaptive_step, adaptive_stop, subnetwork_size)
     else:
-        chained = _link_in_order(points, axes, radius, period, method == "predict", memory)
+        chained = _link_in_order(points, axes, radius, period, method == "predict", memory, adaptive_step, adaptive_stop, subnetwork_size)
     linked = number_cells(features.join(chained, "feature"), start)
     if time_cell_min is not None:
         stubs = max(stubs, int(time_cell_min // dt) + 1)
@@ -83,28 +85,7 @@ def _link_distributed(points, axes, radius, period, step, stop, most) -> DataFra
     grouped = pairs.join(contest, 2 * F.col("a") == F.col("node")).select("component", "a", "b", "d")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        reach = radius
-        while True:
-            near = pdf[pdf["d"] <= reach]
-            a, ia = np.unique(near["a"], return_inverse=True)
-            b, ib = np.unique(near["b"], return_inverse=True)
-            node = kernels.components(len(a) + len(b), ia, ib + len(a)) if len(near) else np.zeros(0, int)
-            largest = max(np.bincount(node[: len(a)]).max(initial=0), np.bincount(node[len(a) :]).max(initial=0)) if len(node) else 0
-            if largest <= most or step is None:
-                if largest > most and step is None and largest > 20 * most:
-                    raise ValueError(f"{largest} features contest their links; shorten the search radius or use adaptive search")
-                break
-            if reach * step < stop:
-                raise ValueError("adaptive search reached its stop with too many contested features")
-            reach *= step
-        links = []
-        for root in np.unique(node):
-            rows = np.flatnonzero(node[: len(a)] == root)
-            cols = np.flatnonzero(node[len(a) :] == root)
-            d2 = np.full((len(rows), len(cols)), np.inf)
-            own = np.isin(ia, rows)
-            d2[np.searchsorted(rows, ia[own]), np.searchsorted(cols, ib[own])] = near["d"].to_numpy()[own] ** 2
-            links += [(a[rows[i]], b[cols[j]]) for i, j in kernels.match_points(d2, reach)]
+        links = kernels.match_within(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["d"].to_numpy(), radius, most, step, stop)
         return pd.DataFrame(links, columns=["a", "b"])
 
     links = settle(grouped.groupBy("component").applyInPandas(run, "a long, b long"))
@@ -112,7 +93,7 @@ def _link_distributed(points, axes, radius, period, step, stop, most) -> DataFra
     return points.select("feature").join(chains, F.col("feature") == F.col("node"), "left").select("feature", F.coalesce("component", "feature").alias("chain"))
 
 
-def _link_in_order(points, axes, radius, period, predict, memory) -> DataFrame:
+def _link_in_order(points, axes, radius, period, predict, memory, step=None, stop=None, most=30) -> DataFrame:
     size = [None if not period or a not in period else float(period[a]) for a in axes]
 
     def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -143,7 +124,9 @@ def _link_in_order(points, axes, radius, period, predict, memory) -> DataFrame:
                             v = known[k][1]
                         guess.append(x[1] + (v if v is not None else 0) * (frame - x[3]))
                     there = np.array(guess)
-                for i, j in kernels.match_points(apart(there, here), radius):
+                d = np.sqrt(apart(there, here))
+                i_near, j_near = np.nonzero(d <= radius)
+                for i, j in kernels.match_within(i_near, j_near, d[i_near, j_near], radius, most, step, stop):
                     taken[j] = i
             fresh = []
             for j, (place, feature) in enumerate(zip(here, ids, strict=True)):

@@ -128,13 +128,13 @@ def grid_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     field = grid(spark, sf_dir)
-    features, mask = detect_with_labels(field, SHAPE, 200.0)
+    features, mask = detect_with_labels(field, SHAPE, 200.0, sigma=0.0)
     return field, features, settle(mask)
 
 
 def masked_3d(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     field = grid_3d(spark, sf_dir)
-    features, mask = detect_with_labels(field, SHAPE_3D, 60.0)
+    features, mask = detect_with_labels(field, SHAPE_3D, 60.0, sigma=0.0)
     return field, features, settle(mask)
 
 
@@ -153,37 +153,37 @@ def grid_field_3d(spark, sf_dir):
 
 @query(with_sql([GRID, labelled([200.0])], detected(CENTER)))
 def detect_threshold(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, 200.0))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, 200.0, sigma=0.0))
 
 
 @query(ORACLES["detect_threshold"])
 def detect_tiled(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, 200.0, tile=5))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, 200.0, tile=5, sigma=0.0))
 
 
 @query(with_sql([GRID, labelled(THRESHOLDS)], detected(CENTER)))
 def detect_multithreshold(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, sigma=0.0))
 
 
 @query(with_sql([GRID, labelled(THRESHOLDS, [3, 2, 1, 0])], detected(CENTER)))
 def detect_n_min(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, n_min={150.0: 3, 200.0: 2, 260.0: 1, 330.0: 0}))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, n_min={150.0: 3, 200.0: 2, 260.0: 1, 330.0: 0}, sigma=0.0))
 
 
 @query(with_sql([GRID, labelled(THRESHOLDS)], detected({a: f"arg_max(CAST({a} AS DOUBLE), value * 1000 - pid / 1000.0)" for a in CENTER})))
 def detect_extreme(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, position="extreme"))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, position="extreme", sigma=0.0))
 
 
 @query(with_sql([GRID, labelled(THRESHOLDS)], detected({a: f"coalesce(sum({a} * abs(value - threshold_value)) / nullif(sum(abs(value - threshold_value)), 0), avg({a}))" for a in CENTER})))
 def detect_weighted_diff(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, position="weighted_diff"))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, position="weighted_diff", sigma=0.0))
 
 
 @query(with_sql([GRID, labelled(THRESHOLDS)], detected({a: f"sum({a} * abs(value)) / sum(abs(value))" for a in CENTER})))
 def detect_weighted_abs(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, position="weighted_abs"))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, THRESHOLDS, position="weighted_abs", sigma=0.0))
 
 
 _MINIMUM = labelled([60.0, 20.0]).replace("value >= threshold_value", "value <= threshold_value")
@@ -191,7 +191,7 @@ _MINIMUM = labelled([60.0, 20.0]).replace("value >= threshold_value", "value <=
 
 @query(with_sql([GRID, _MINIMUM], detected(CENTER)))
 def detect_minimum(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, [20.0, 60.0], target="minimum"))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, [20.0, 60.0], target="minimum", sigma=0.0))
 
 
 _STRICT = """acc0 AS (SELECT * FROM valid WHERE rank = 0),
@@ -204,7 +204,7 @@ skept AS (SELECT * FROM (SELECT *, max(CAST(top > rank AS INT)) OVER (PARTITION
 
 @query(with_sql([GRID, labelled([150.0, 200.0, 260.0], [3, 3, 0]), _STRICT], detected(CENTER).replace("FROM kept", "FROM skept")))
 def detect_strict(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, [150.0, 200.0, 260.0], n_min=[3, 3, 0], strict=True))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, [150.0, 200.0, 260.0], n_min=[3, 3, 0], strict=True, sigma=0.0))
 
 
 _ERODED = """SELECT p.* FROM px0 p WHERE (SELECT count(*) FROM px0 q WHERE q.frame = p.frame AND q.rank = p.rank AND q.hdim_1 - p.hdim_1 BETWEEN -1 AND 0 AND q.hdim_2 - p.hdim_2 BETWEEN -1 AND 0)
@@ -213,7 +213,7 @@ _ERODED = """SELECT p.* FROM px0 p WHERE (SELECT count(*) FROM px0 q WHERE q.fra
 
 @query(with_sql([GRID, labelled([150.0], pixels=_ERODED)], detected(CENTER)))
 def detect_eroded(spark, sf_dir):
-    return rounded(detect(grid(spark, sf_dir), SHAPE, [150.0], erosion=2))
+    return rounded(detect(grid(spark, sf_dir), SHAPE, [150.0], erosion=2, sigma=0.0))
 
 
 _WRAPPED = "((abs(p.hdim_1 - r.hdim_1) <= 1 AND abs(p.hdim_2 - r.hdim_2) <= 1) OR (abs(p.hdim_1 - r.hdim_1) = 11 AND p.hdim_2 = r.hdim_2) OR (abs(p.hdim_2 - r.hdim_2) = 11 AND p.hdim_1 = r.hdim_1) OR (abs(p.hdim_1 - r.hdim_1) = 11 AND abs(p.hdim_2 - r.hdim_2) = 11))"
@@ -222,7 +222,7 @@ _CIRCLE = "(SELECT CASE WHEN m >= 12 THEN 0 ELSE m END FROM (SELECT round(((a %
 
 @query(with_sql([GRID, labelled([260.0], near=_WRAPPED)], "SELECT frame, num, CAST(row_number() OVER (ORDER BY frame, label) AS BIGINT) AS feature FROM (SELECT frame, label, count(*) AS num FROM kept GROUP BY 1, 2)"))
 def detect_periodic(spark, sf_dir):
-    return detect(grid(spark, sf_dir), SHAPE, [260.0], pbc="both").select("frame", "num", "feature")
+    return detect(grid(spark, sf_dir), SHAPE, [260.0], pbc="both", sigma=0.0).select("frame", "num", "feature")
 
 
 @query(with_sql([GRID], "SELECT frame, round(" + _CIRCLE.format(s="s", c="c") + ", 6) AS mean FROM (SELECT frame, sum(value * sin(hdim_2 / 12.0 * 2 * pi())) AS s, sum(value * cos(hdim_2 / 12.0 * 2 * pi())) AS c FROM grid GROUP BY frame)"))
@@ -232,7 +232,7 @@ def circular_means(spark, sf_dir):
 
 @query(with_sql(MASK_3D[:2], detected({"vdim": "avg(vdim)", **CENTER})))
 def detect_3d(spark, sf_dir):
-    return rounded(detect(grid_3d(spark, sf_dir), SHAPE_3D, 60.0))
+    return rounded(detect(grid_3d(spark, sf_dir), SHAPE_3D, 60.0, sigma=0.0))
 
 
 @query(with_sql(MASK, "SELECT frame, hdim_1, hdim_2, CAST(feature AS BIGINT) AS feature FROM mask"))
@@ -643,7 +643,7 @@ def synthetic_feature(spark, sf_dir):
 @query()
 def segment_watershed(spark, sf_dir):
     field = grid(spark, sf_dir)
-    features = settle(detect(field, SHAPE, THRESHOLDS, position="extreme"))
+    features = settle(detect(field, SHAPE, THRESHOLDS, position="extreme", sigma=0.0))
     return segment.segment(features, field, SHAPE, 150.0)[1].select("frame", "feature", "ncells")
 
 
@@ -651,7 +651,7 @@ def segment_watershed(spark, sf_dir):
 def segment_covered(spark, sf_dir):
     """Seeds in every region reach every cell: regions at or over a threshold, flooded just below it, over diagonals too."""
     field = grid(spark, sf_dir)
-    mask = settle(detect_with_labels(field, SHAPE, 260.0)[1])
+    mask = settle(detect_with_labels(field, SHAPE, 260.0, sigma=0.0)[1])
     seeds = number(mask.drop("feature"), ["hdim_1", "hdim_2"])
     return segment.segment(seeds, field, SHAPE, 259.999)[0].groupBy("frame").agg(F.count("*").alias("cells"))
 
@@ -659,19 +659,19 @@ def segment_covered(spark, sf_dir):
 @query()
 def segment_periodic(spark, sf_dir):
     field = grid(spark, sf_dir)
-    features = settle(detect(field, SHAPE, 260.0, position="extreme", pbc="both"))
+    features = settle(detect(field, SHAPE, 260.0, position="extreme", pbc="both", sigma=0.0))
     return segment.segment(features, field, SHAPE, 150.0, pbc="both")[1].select("frame", "feature", "ncells")
 
 
 @query()
 def segment_3d(spark, sf_dir):
     field = grid_3d(spark, sf_dir)
-    features = settle(detect(field, SHAPE_3D, 90.0, position="extreme"))
+    features = settle(detect(field, SHAPE_3D, 90.0, position="extreme", sigma=0.0))
     return segment.segment_3d(features, field, SHAPE_3D, 60.0, how="box", size=3)[1].select("frame", "feature", "ncells")
 
 
 def _linked(spark, sf_dir, **options) -> DataFrame:
-    features = settle(detect(grid(spark, sf_dir), SHAPE, 200.0))
+    features = settle(detect(grid(spark, sf_dir), SHAPE, 200.0, sigma=0.0))
     return tracks.link(features, 86400.0, 1000.0, d_max=2000.0, **options).select("frame", "feature", "cell", "time_cell")
 
 

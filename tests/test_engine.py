@@ -26,10 +26,10 @@ def field(spark, *boxes, shape=(50, 50), base=0.0):
 
 def test_one_square_is_found_at_its_centre(spark):
     painted = synthetic.paint(field(spark), {"hdim_1": 20, "hdim_2": 20}, {"hdim_1": 5, "hdim_2": 5}, 2)
-    row = detect(painted, SQUARE, 1.5, n_min=10).first()
+    row = detect(painted, SQUARE, 1.5, n_min=10, sigma=0.0).first()
     assert (row.hdim_1, row.hdim_2, row.num, row.feature, row.frame) == (20, 20, 25, 1, 0)
-    assert detect(painted, SQUARE, 1.5, n_min=25).count() == 0  # n_min cells or fewer go
-    assert detect(painted, SQUARE, 2.0).count() == 1 and detect(painted, SQUARE, 2.1).count() == 0  # equality counts
+    assert detect(painted, SQUARE, 1.5, n_min=25, sigma=0.0).count() == 0  # n_min cells or fewer go
+    assert detect(painted, SQUARE, 2.0, sigma=0.0).count() == 1 and detect(painted, SQUARE, 2.1, sigma=0.0).count() == 0  # equality counts
 
 
 def test_nested_squares_strict_and_not(spark):
@@ -39,9 +39,9 @@ def test_nested_squares_strict_and_not(spark):
         values[0, lo : lo + side, lo : lo + side] = 50 - side
     shape = {"hdim_1": 101, "hdim_2": 101}
     cells = from_array(spark, values)
-    loose = detect(cells, shape, [8, 29, 39, 44]).collect()
+    loose = detect(cells, shape, [8, 29, 39, 44], sigma=0.0).collect()
     assert [(r.hdim_1, r.threshold_value) for r in loose] == [(44.0, 44.0)]
-    strict = detect(cells, shape, [8, 29, 39, 44], n_min={8: 0, 29: 500, 39: 0, 44: 0}, strict=True).collect()
+    strict = detect(cells, shape, [8, 29, 39, 44], n_min={8: 0, 29: 500, 39: 0, 44: 0}, strict=True, sigma=0.0).collect()
     assert [(r.hdim_1, r.threshold_value) for r in strict] == [(49.5, 8.0)]
 
 
@@ -49,8 +49,8 @@ def test_periodic_regions(spark):
     snake = np.zeros((1, 50, 50))
     snake[0, 10:20, 0] = snake[0, 20:30, 49] = snake[0, 19, 0] = snake[0, 19:21, 49] = 2
     cells = from_array(spark, snake)
-    assert detect(cells, SQUARE, 1.0, pbc="hdim_2").count() == 1 and detect(cells, SQUARE, 1.0).count() == 2
-    assert detect(cells, SQUARE, 1.0, pbc="hdim_2", tile=7).count() == 1
+    assert detect(cells, SQUARE, 1.0, pbc="hdim_2", sigma=0.0).count() == 1 and detect(cells, SQUARE, 1.0, sigma=0.0).count() == 2
+    assert detect(cells, SQUARE, 1.0, pbc="hdim_2", tile=7, sigma=0.0).count() == 1
     with pytest.raises(ValueError):
         scalar.periodic_axes("sideways")
 
@@ -61,13 +61,13 @@ def test_tiled_labels_equal_whole_frames(spark, pbc):
     shape = {"hdim_1": 30, "hdim_2": 40}
     cells = from_array(spark, values)
     key = lambda df: sorted((r.frame, r.num, round(r.hdim_1, 6), round(r.hdim_2, 6)) for r in df.collect())
-    assert key(detect(cells, shape, 0.5, pbc=pbc)) == key(detect(cells, shape, 0.5, pbc=pbc, tile=8))
+    assert key(detect(cells, shape, 0.5, pbc=pbc, sigma=0.0)) == key(detect(cells, shape, 0.5, pbc=pbc, tile=8, sigma=0.0))
 
 
 def test_transposed_field_gives_transposed_features(spark):
     values = np.random.default_rng(4).random((1, 20, 25))
-    a = detect(from_array(spark, values), {"hdim_1": 20, "hdim_2": 25}, [0.6, 0.9], position="weighted_diff").collect()
-    b = detect(from_array(spark, values.transpose(0, 2, 1)), {"hdim_1": 25, "hdim_2": 20}, [0.6, 0.9], position="weighted_diff").collect()
+    a = detect(from_array(spark, values), {"hdim_1": 20, "hdim_2": 25}, [0.6, 0.9], position="weighted_diff", sigma=0.0).collect()
+    b = detect(from_array(spark, values.transpose(0, 2, 1)), {"hdim_1": 25, "hdim_2": 20}, [0.6, 0.9], position="weighted_diff", sigma=0.0).collect()
     assert sorted((round(r.hdim_1, 9), round(r.hdim_2, 9)) for r in a) == sorted((round(r.hdim_2, 9), round(r.hdim_1, 9)) for r in b)
 
 
@@ -100,7 +100,7 @@ def test_gaussian_and_spectral():
 
 def test_segments_have_the_squares_sizes(spark):
     cells = field(spark, ((18, 23), (18, 23), 2.0), ((35, 45), (35, 45), 10.0))
-    features = detect(cells, SQUARE, 1.5)
+    features = detect(cells, SQUARE, 1.5, sigma=0.0)
     mask, sized = segment(features, cells, SQUARE, 1.5)
     assert sorted(r.ncells for r in sized.collect()) == [25, 100] and mask.count() == 125
     dense = with_status(masks.features_only(mask, [1]), cells, SQUARE, 1.5)
@@ -236,7 +236,7 @@ def test_blobs_end_to_end(spark, tmp_path):
     cells = synthetic.blobs(spark, 6, shape, synthetic.ONE_2D)
     write_cells(cells, str(tmp_path / "cells"), 2)
     cells = read_cells(spark, str(tmp_path / "cells"))
-    features, mask = detect_with_labels(cells, shape, [3.0, 5.0], position="weighted_diff")
+    features, mask = detect_with_labels(cells, shape, [3.0, 5.0], position="weighted_diff", sigma=0.0)
     linked = tracks.link(features, 60, 1000, v_max=100)
     assert [r.cell for r in linked.collect()] == [1] * 6
     assert slabs(cells, shape).where(F.size("slab") == 5000).count() == 6
@@ -253,6 +253,6 @@ def test_streamed_detection_equals_batch(spark, tmp_path):
     cells.where("frame >= 2").write.mode("append").parquet(str(tmp_path / "in"))
     seen = []
     stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1000).parquet(str(tmp_path / "in"))
-    detect_stream(stream, shape, [0.8], lambda df, n: seen.extend((r.frame, r.num, r.hdim_1) for r in df.collect()), str(tmp_path / "state")).awaitTermination()
-    want = sorted((r.frame, r.num, r.hdim_1) for r in detect(cells, shape, [0.8]).collect() if r.frame < 3)
+    detect_stream(stream, shape, [0.8], lambda df, n: seen.extend((r.frame, r.num, r.hdim_1) for r in df.collect()), str(tmp_path / "state"), sigma=0.0).awaitTermination()
+    want = sorted((r.frame, r.num, r.hdim_1) for r in detect(cells, shape, [0.8], sigma=0.0).collect() if r.frame < 3)
     assert sorted(seen) == want  # the last frame waits for the watermark
