@@ -8,15 +8,16 @@ their similarity. The first nodes looked at are ``DEPTH`` levels deep. There eve
 against a pivot of its node, which joins most groups of copies.
 
 Of the nodes that the confirmed links still leave in more than one component, small ones are compared
-exhaustively across their components and large ones branch on: ``STEP`` levels deeper, ``FORKS`` times
-over, so that a pair at the threshold goes on with a chance of 0.87 a step while others thin out. Where
-that does not thin a node out, as its members resemble each other nearly as much as the threshold asks,
-it is compared exhaustively instead, block by block, on parity bitmaps of the sets: the bits in which
-two differ are at most the tokens in which the sets do, so no pair at the threshold is passed over.
+exhaustively across their components, those of at most a block on parity bitmaps of the sets: the bits in
+which two differ are at most the tokens in which the sets do, so no pair at the threshold is passed over.
+Larger ones branch on: ``STEP`` levels deeper, ``FORKS`` times over, so that a pair at the threshold goes
+on with a chance of 0.87 a step while others thin out. Where that does not thin a node out, as its members
+resemble each other nearly as much as the threshold asks, it is compared exhaustively too, block by block.
+The blocks of a node's widest component are held against those of its other members, not against each other.
 Recursion ends when no large node is left; there is no limit on depth, members or candidates.
 
 Every link is confirmed on full sets. A pair of similarity 0.8 is missed with a chance of
-(1 - 0.8 ** 3) ** 16, about 1e-5, in small and in dense nodes, and of less than 1e-3 further down.
+(1 - 0.8 ** 3) ** 16, about 1e-5, in nodes of up to a block and in dense ones, and of less than 1e-3 further down.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ TREES, DEPTH, SMALL = 16, 3, 24
 STEP, FORKS = 2, 2
 #: A large node whose pairs stay together more often than this in a step is dense: it is compared, not branched.
 DENSE = 0.36
-BLOCK = 1024
+#: Members of a node, or of two halves of a wider one, that one task compares.
+BLOCK = 2048
+HALF = BLOCK // 2
 _SEEDS = np.random.default_rng(41).integers(1, 2**62, TREES).astype(np.uint64)
 _FORK_SEEDS = np.random.default_rng(43).integers(1, 2**62, FORKS).astype(np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -172,7 +175,7 @@ def block_candidates(block: pa.Table, percent: int, layers: int = 1) -> pa.Table
     """Pairs (a, b) of one block of a node that may reach the threshold, between different components.
 
     Of all of them ``layers`` disjoint forests over the components are given, closest pairs first: where
-    they are confirmed the others join nothing more. If any pair is left out, a row of -1 says so.
+    they are confirmed the others join nothing more. If any pair is left out, a row (-1, node) says so.
     """
     i, j, own, ids, n, component = (block.column(c).to_numpy() for c in ("i", "j", "own", "id", "n", "component"))
     by_width: dict[int, tuple[list[int], list[bytes]]] = {}
@@ -206,17 +209,29 @@ def block_candidates(block: pa.Table, percent: int, layers: int = 1) -> pa.Table
             some = rest[forest(component[x[rest]], component[y[rest]], weight[rest])]
             taken.append(some)
             rest = np.setdiff1d(rest, some, assume_unique=True)
-    at, more = np.concatenate(taken), [-1] if len(rest) else []
+    at, none, nodes = np.concatenate(taken), [-1] if len(rest) else [], [block.column("node")[0].as_py()] if len(rest) else []
     a, b = ids[x[at]], ids[y[at]]
-    return pa.table({"a": np.r_[np.minimum(a, b), more].astype(np.int64), "b": np.r_[np.maximum(a, b), more].astype(np.int64)})
+    return pa.table({"a": np.r_[np.minimum(a, b), none].astype(np.int64), "b": np.r_[np.maximum(a, b), nodes].astype(np.int64)})
 
 
 def _block_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int, layers: int) -> DataFrame:
-    """What ``block_candidates`` gives of each node, by blocks of about ``BLOCK`` members."""
-    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    dealt = rows.select("id", "n", "component", "node", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    held = dealt.join(bitmaps, "id").select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", F.col("value").alias("bits"))
-    return held.groupBy("node", "i", "j").applyInArrow(lambda block: block_candidates(block, percent, layers), "a long, b long")
+    """What ``block_candidates`` gives of each node, by blocks.
+
+    A node of at most ``BLOCK`` members is one block. A wider one has blocks of about ``HALF``, two of which are
+    compared at a time; its widest component has blocks of its own, which come before those of the others.
+    """
+    held, wide = rows.columns, rows.where(F.col("c") > BLOCK)
+    dealt = rows.where(F.col("c") <= BLOCK).select(*held, F.lit(0).alias("own"), F.lit(0).alias("other"))
+    if not wide.isEmpty():
+        widest = wide.groupBy("node", "component").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", "component")).alias("w"))
+        wide = wide.join(settle(widest.select("node", "w.m", F.col("w.component").alias("widest"))), "node")
+        inner, outer = F.ceil(F.col("m") / F.lit(HALF)).cast("int"), F.ceil((F.col("c") - F.col("m")) / F.lit(HALF)).cast("int")
+        within = F.col("component") == F.col("widest")
+        own = F.when(within, F.pmod(F.xxhash64("id"), inner)).otherwise(inner + F.pmod(F.xxhash64("id"), outer)).cast("int")
+        others = F.sequence(F.when(within, inner).otherwise(0), inner + outer - 1)
+        dealt = dealt.union(wide.select(*held, own.alias("own"), F.explode(others).alias("other")))
+    blocks = dealt.join(bitmaps, "id").select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", F.col("value").alias("bits"))
+    return blocks.groupBy("node", "i", "j").applyInArrow(lambda block: block_candidates(block, percent, layers), "a long, b long")
 
 
 class _Join:
@@ -230,7 +245,7 @@ class _Join:
         # ids are given once: the table is settled, and whatever comes later reads it
         self.classes = settle(grouped.select(F.monotonically_increasing_id().alias("id"), "lo", "hi", "n", F.col("rep.doc").alias("doc"), F.xxhash64("rep.doc", "rep.th").alias("rep"), "nodes"))
         self.texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("rep"), F.col(text_col).alias("__text"))
-        self.links = self.store = None
+        self.of = self.store = None
 
     def of_classes(self, ids: DataFrame, made, kind: str) -> DataFrame:
         """(id, value): what ``made`` makes of the sets of these classes; ``ids`` may carry more columns for it."""
@@ -259,13 +274,26 @@ class _Join:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("value").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("value").alias("tb")), "b")
         shared = F.size(F.array_intersect("ta", "tb"))
         good = settle(both.where(100 * shared >= self.percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
-        self.good, self.links = good, good if self.links is None else self.links.union(good)
-        of = settle(components(self.links, hubs=True).withColumnRenamed("node", "id"))
+        self.good = good
+        if self.of is None:
+            self.of = settle(components(good, hubs=True).withColumnRenamed("node", "id"))
+        elif not good.isEmpty():
+            self.of = settle(self._united(good))
         # shuffles and checkpoints of the rounds go from the disks once the driver has let them go
         del pairs, ids, sets, both, good
         gc.collect()
-        of.sparkSession.sparkContext._jvm.System.gc()
-        return of
+        self.of.sparkSession.sparkContext._jvm.System.gc()
+        return self.of
+
+    def _united(self, good: DataFrame) -> DataFrame:
+        """The components with these links added: of the links only those between two components count."""
+        of = self.of
+        for side in "ab":
+            good = good.join(of.select(F.col("id").alias(side), F.col("component").alias("of_" + side)), side, "left")
+        between = good.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b")
+        moved = settle(components(between, hubs=True).select(F.col("node").alias("component"), F.col("component").alias("into")))
+        known = of.join(moved, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+        return known.union(moved.select(F.col("component").alias("id"), F.col("into").alias("component")).join(of, "id", "left_anti"))
 
 
 def members(rows: DataFrame) -> DataFrame:
@@ -326,10 +354,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def _compare(join: _Join, pairs: DataFrame, dense: DataFrame) -> DataFrame:
-    """Links among these pairs and within dense nodes, by blocks; gives the components after them.
+    """Links among these pairs and within the nodes of ``dense``, by blocks; gives the components after them.
 
     A forest of candidates is asked for first. Only where some of them prove no links and others were left out
-    are more forests asked for, of what is then still in parts, until every candidate was looked at or joined.
+    are more forests asked for, of the nodes that left some out and are still in parts, until every candidate was
+    looked at or joined.
     """
     if dense.isEmpty():
         return join.confirm(pairs)
@@ -338,15 +367,22 @@ def _compare(join: _Join, pairs: DataFrame, dense: DataFrame) -> DataFrame:
         found = settle(_block_pairs(dense, bitmaps, join.percent, layers).distinct())
         asked = found.where("a >= 0")
         of = join.confirm(asked.union(pairs) if layers == 1 else asked)
-        if found.where("a < 0").isEmpty() or asked.join(join.good, ["a", "b"], "left_anti").isEmpty():
+        left_out = found.where("a < 0").select(F.col("b").alias("node"))
+        if left_out.isEmpty() or asked.join(join.good, ["a", "b"], "left_anti").isEmpty():
             return of
-        dense, layers = unsettled(dense.drop("component"), of), 4 * layers
+        dense, layers = unsettled(dense.drop("component").join(left_out, "node", "left_semi"), of), 16 * layers
         if dense.isEmpty():
             return of
 
 
-def _branch(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of dense large nodes, and the rows (id, n, node) of the others one step further down."""
+def _branch(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of nodes to compare as they are, and the rows (id, n, node) of the others one step further down.
+
+    A node of at most a block costs less to compare than to branch, so only wider ones are asked whether they thin out.
+    """
+    held, large = large.where(F.col("c") <= BLOCK), large.where(F.col("c") > BLOCK)
+    if large.isEmpty():
+        return held, None
     paths = large.groupBy("id").agg(F.collect_set("node").alias("nodes"))  # nodes of one class: a few a tree
 
     def step(tokens: np.ndarray, nodes: list[int]) -> list[list[int]]:
@@ -361,7 +397,7 @@ def _branch(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     thick = settle(sizes.join(together, "node").where(F.col("pairs") > DENSE * FORKS * F.col("c") * F.col("c")).select("node"))
     thin = settle(edges.join(thick, "node", "left_anti"))
     rest = thin.join(join.classes.select("id", "n"), "id").select("id", "n", F.col("below").alias("node"))
-    return settle(large.join(thick, "node", "left_semi")), rest
+    return settle(held.union(large.join(thick, "node", "left_semi"))), rest
 
 
 def query(docs: DataFrame) -> DataFrame:
