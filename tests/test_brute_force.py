@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import kernels, scalar
-from cellweave.operators import tables, tracks
+from cellweave.operators import analysis, tables, tracks
 from cellweave.operators.detect import detect, smooth, smooth_tiled
 from cellweave.operators.segment import segment
 from cellweave.sources.grid import from_array
@@ -138,6 +138,37 @@ def test_points_of_another_grid_equal_brute_force(spark):
         assert 2 * 6371000.0 * math.asin(math.sqrt(min(h, 1))) == pytest.approx(want[k], abs=1e-3)
 
 
+@pytest.mark.parametrize("kind", ["xy", "latlon"])
+def test_overlap_of_cells_equals_all_pairs_and_moves_none(spark, kind):
+    rng = np.random.default_rng(21)
+    rows = []
+    for cell in range(-1, 700):  # lives of 1 to 9 of 90 frames, 0 to 2 rows in a frame, some without a place
+        born = int(rng.integers(0, 90))
+        for t in range(born, born + int(rng.integers(1, 10))):
+            for _ in range(int(rng.choice([0, 1, 1, 1, 2]))):
+                rows.append((t, cell, *(None if rng.random() < 0.02 else float(v) for v in rng.uniform(0, 60, 2))))
+    table = spark.createDataFrame(rows, "t int, cell int, u double, v double").withColumn("time", F.timestamp_seconds(F.col("t") * 60).cast("timestamp_ntz"))
+    want: dict = {}
+    for t, a, y, x in rows:
+        for s, b, y2, x2 in rows if a >= 0 and a % 2 == 0 else ():
+            if s == t and b % 2 == 1 and b >= 0:
+                found = want.setdefault((a, b), [0, []])
+                found[0] += 1
+                if None not in (y, x, y2, x2):
+                    p, q = math.radians(y), math.radians(y2)
+                    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(x2 - x) / 2) ** 2
+                    found[1].append(1 / (1 + (math.hypot(y - y2, x - x2) / 1000 if kind == "xy" else 2 * 6378.0 * math.asin(math.sqrt(min(h, 1))))))
+    least = sorted(sum(v) for _, v in want.values())[len(want) // 3]
+    kept = {k: (n, sum(v), sum(v) / len(v)) for k, (n, v) in want.items() if v and sum(v) >= least - 1e-9}
+    out = analysis.overlap(table.where("cell % 2 = 0"), table.where("cell % 2 = 1"), ("u", "v"), kind, least - 1e-9)
+    got = {(r.cell_1, r.cell_2): (r.n_common, r.inverse_distance_sum, r.inverse_distance_mean) for r in out.collect()}
+    assert set(got) == set(kept) and len(kept) > 1000
+    assert all(got[k] == pytest.approx(kept[k], rel=1e-9) for k in kept)
+    above = out._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroups")
+    assert len(above) > 1 and "Exchange" not in above[0]
+    assert analysis.overlap(table.where("cell < -1"), table, ("u", "v"), kind).count() == 0
+
+
 def test_detection_smooths_by_default_and_adds_statistics(spark):
     values = np.random.default_rng(12).random((2, 12, 15)) * 10
     shape, cells = {"hdim_1": 12, "hdim_2": 15}, from_array(spark, values)
