@@ -282,3 +282,27 @@ def nearness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n_a: int, n_b
                 else:
                     np.add.at(total, (own[:, None], j), d)
     return shared, known, total
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Positions of the edges u - v in the minimum spanning forest, by w, then a, then b."""
+    rank = np.lexsort((b, a, w))
+    names, ends = np.unique(np.concatenate([u[rank], v[rank]]), return_inverse=True)
+    x, y = np.split(ends.ravel(), 2)
+    at, chosen, n = np.arange(len(rank)), [], len(names)
+    while True:
+        apart = x != y
+        x, y, at = x[apart], y[apart], at[apart]
+        if not len(at):
+            break
+        # edges stand in order: the first at a node is its lightest
+        first = np.full(n, len(at))
+        first[x[::-1]] = np.arange(len(at))[::-1]
+        other = np.full(n, len(at))
+        other[y[::-1]] = np.arange(len(at))[::-1]
+        least = np.unique(np.minimum(first, other))
+        least = least[least < len(at)]
+        chosen.append(at[least])
+        label = components(n, x[least], y[least])
+        x, y = label[x], label[y]
+    return np.sort(rank[np.concatenate(chosen)]) if chosen else np.zeros(0, np.int64)

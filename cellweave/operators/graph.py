@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import kernels
+
+#: Fixed value: so many edges are finished in one task.
+LAST_EDGES = 1 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder: spark.checkpoint.dir, or a temporary folder where all runs in one local JVM."""
@@ -55,3 +63,47 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", hubs: bool = False)
         before = state
     low = pairs.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(low, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, w) of the edges in the minimum spanning forest of an edge table (a long, b long, w double), by w, then a, then b.
+
+    The heaviest edge of a circle is never in it, so each task first thins its own edges as they come, and only
+    what is left is moved. While that is over LAST_EDGES, each component's lightest edge is taken and its
+    ends become one node (Boruvka); then one task finishes.
+    """
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "w", "u", "v"]
+        kept, waiting, size = None, [], 0
+        for batch in batches:
+            waiting.append([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names])
+            size += batch.num_rows
+            if size >= max(1 << 18, 0 if kept is None else len(kept[0])):
+                kept, waiting, size = lightest(kept, waiting), [], 0
+        kept = lightest(kept, waiting) if waiting else kept
+        if kept is not None:
+            for k in range(0, len(kept[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in kept], names=names)
+
+    def lightest(kept, waiting):
+        columns = [np.concatenate(c) for c in zip(*([kept] if kept else []), *waiting, strict=True)]
+        chosen = kernels.spanning_forest(*columns)
+        return [c[chosen] for c in columns]
+
+    schema = "a long, b long, w double, u long, v long"
+    left = settle(edges.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").mapInArrow(thin, schema))
+    taken = []
+    while (n := left.count()) > LAST_EDGES:
+        ends = left.withColumn("x", F.explode(F.array("u", "v")))
+        least = settle(ends.groupBy("x").agg(F.min(F.struct("w", "a", "b", "u", "v")).alias("e")).select("e.*").distinct())
+        taken.append(least.select("a", "b", "w"))
+        into = components(least, "u", "v")
+        for c in ("u", "v"):
+            left = left.join(into.select(F.col("node").alias(c), F.col("component").alias("to")), c).drop(c).withColumnRenamed("to", c)
+        # parallel edges meet in one task and are thinned to one
+        left = settle(left.where("u != v").select("a", "b", "w", "u", "v").repartition(max(1, 4 * n // LAST_EDGES), F.least("u", "v")).mapInArrow(thin, schema))
+    out = left.coalesce(1).mapInArrow(thin, schema).select("a", "b", "w")
+    for t in taken:
+        out = out.union(t)
+    return settle(out)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import kernels
 from ..functions.scalar import distance, seconds_between
 from ..sources.grid import axes_of
-from .graph import components, settle
+from .graph import components, settle, spanning_forest
 
 
 def search_radius(dt: float, dxy: float, v_max: float | None = None, d_max: float | None = None) -> float:
@@ -204,28 +204,10 @@ def merge_split(track: DataFrame, dxy: float, distance_max: float | None = None,
     side = lambda which: ends.select("cell", F.col("first.frame").alias("first"), F.col("last.frame").alias("last"), *(F.col(f"{which}.{a}").alias(a) for a in axes))
     pairs = near_pairs(side("last"), side("first"), [], axes, reach, {a: p * dxy for a, p in (period or {}).items()})
     gap = F.abs(F.col("l_first") - F.col("r_last")) if frame_rule == "reference" else F.abs(F.col("l_last") - F.col("r_first"))
-    edges = settle(pairs.where((F.col("l_cell") != F.col("r_cell")) & (gap <= frame_len)).select(F.col("l_cell").cast("long").alias("a"), F.col("r_cell").cast("long").alias("b"), (F.col("d") + 0.01).alias("w")))
-    family = components(edges)
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["w", "a", "b"])
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        kept = []
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            x, y = root(a), root(b)
-            if x != y:
-                parent[x] = y
-                kept.append((a, b))
-        return pd.DataFrame(kept, columns=["a", "b"])
-
-    grown = settle(edges.join(family, F.col("a") == F.col("node")).select("component", "a", "b", "w").groupBy("component").applyInPandas(forest, "a long, b long"))
+    edges = pairs.where((F.col("l_cell") != F.col("r_cell")) & (gap <= frame_len)).select(F.col("l_cell").cast("long").alias("a"), F.col("r_cell").cast("long").alias("b"), (F.col("d") + 0.01).alias("w"))
+    # the forest has the components of all edges
+    grown = spanning_forest(edges)
+    family = settle(components(grown))
     named = ends.join(family, F.col("cell") == F.col("node"), "left").select("cell", "cell_child_feature_count", F.coalesce("component", F.col("cell").cast("long")).alias("root"))
     roots = named.groupBy("root").agg(F.count("*").alias("track_child_cell_count"))
     # tracks are numbered by their lowest cell; one row a thousand roots meets in one task

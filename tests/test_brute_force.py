@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import kernels, scalar
-from cellweave.operators import analysis, tables, tracks
+from cellweave.operators import analysis, graph, tables, tracks
 from cellweave.operators.detect import detect, smooth, smooth_tiled
 from cellweave.operators.segment import segment
 from cellweave.sources.grid import from_array
@@ -169,6 +169,33 @@ def test_overlap_of_cells_equals_all_pairs_and_moves_none(spark, kind):
     assert analysis.overlap(table.where("cell < -1"), table, ("u", "v"), kind).count() == 0
 
 
+@pytest.mark.parametrize("last", [40, 1 << 20])
+def test_flags_of_a_dense_family_equal_kruskal(spark, monkeypatch, last):
+    monkeypatch.setattr(graph, "LAST_EDGES", last)  # 40: one task never holds more edges at the end
+    rng = np.random.default_rng(4)
+    ends = [(cell, int(f), int(f + n), *(float(v) for v in rng.integers(0, 12, 4) / 2)) for cell, (f, n) in enumerate(zip(rng.integers(0, 9, 200), rng.integers(1, 4, 200), strict=True), 1)]
+    rows = [(2 * c + k, c, (f, g)[k], *p[2 * k : 2 * k + 2]) for c, f, g, *p in ends for k in (0, 1)]
+    table = spark.createDataFrame(rows, "feature long, cell int, frame int, hdim_1 double, hdim_2 double").withColumn("time", F.timestamp_seconds("frame"))
+    edges = [(math.hypot(a[5] - b[3], a[6] - b[4]) + 0.01, a[0], b[0]) for a in ends for b in ends if a is not b and abs(a[1] - b[2]) <= 2]
+    root = {c: c for c, *_ in ends}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    edges, starts, merges = sorted(e for e in edges if e[0] <= 1.01), set(), set()
+    for _, a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        if x != y:
+            root[y] = x
+            starts.add(a)
+            merges.add(b)
+    order = sorted({find(c) for c in root})
+    got = {r.cell: (r.cell_parent_track_id, r.cell_starts_with_split, r.cell_ends_with_merge) for r in tracks.merge_split(table, 1.0, 1.0, 2)["cell"].collect()}
+    assert len(edges) > 1000 and got == {c: (order.index(find(c)) + 1, c in starts, c in merges) for c in root}
+
+
 def test_detection_smooths_by_default_and_adds_statistics(spark):
     values = np.random.default_rng(12).random((2, 12, 15)) * 10
     shape, cells = {"hdim_1": 12, "hdim_2": 15}, from_array(spark, values)
