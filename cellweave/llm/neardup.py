@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..operators.graph import components
+from ..operators import graph
 from .common import settle, texts_of
 
 TREES, DEPTH, SMALL = 16, 3, 24
@@ -274,24 +274,31 @@ class _Join:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("value").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("value").alias("tb")), "b")
         shared = F.size(F.array_intersect("ta", "tb"))
         good = settle(both.where(100 * shared >= self.percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
-        self.good = good
-        if self.of is None:
-            self.of = settle(components(good, hubs=True).withColumnRenamed("node", "id"))
-        elif not good.isEmpty():
-            self.of = settle(self._united(good))
+        self.good, new = good, good.count()
+        if self.of is None or new:
+            self.of = settle(self._united(good, new))
         # shuffles and checkpoints of the rounds go from the disks once the driver has let them go
         del pairs, ids, sets, both, good
         gc.collect()
         self.of.sparkSession.sparkContext._jvm.System.gc()
         return self.of
 
-    def _united(self, good: DataFrame) -> DataFrame:
-        """The components with these links added: of the links only those between two components count."""
+    def _united(self, good: DataFrame, new: int) -> DataFrame:
+        """The components with these links, ``new`` in number, added.
+
+        With few enough in all, one task takes the links and those of each class to its component. Else they
+        are united in rounds, and of the links only those between two components count.
+        """
         of = self.of
+        if new + (0 if of is None else of.count()) <= graph.LAST_EDGES:
+            links = good if of is None else good.union(of.select("id", "component"))
+            return graph.few_components(links).withColumnRenamed("node", "id")
+        if of is None:
+            return graph.components(good, hubs=True).withColumnRenamed("node", "id")
         for side in "ab":
             good = good.join(of.select(F.col("id").alias(side), F.col("component").alias("of_" + side)), side, "left")
         between = good.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b")
-        moved = settle(components(between, hubs=True).select(F.col("node").alias("component"), F.col("component").alias("into")))
+        moved = settle(graph.components(between, hubs=True).select(F.col("node").alias("component"), F.col("component").alias("into")))
         known = of.join(moved, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
         return known.union(moved.select(F.col("component").alias("id"), F.col("into").alias("component")).join(of, "id", "left_anti"))
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.llm import decontamination, langid, mixing, neardup, quality_classifier, quality_rules, secrets, substring_dedup, token_count, toxicity
+from cellweave.operators import graph
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start int, score string, component string"
@@ -225,6 +226,37 @@ def test_near_duplicates_in_a_dense_family(spark, monkeypatch, length, changed,
     assert len({c for _, c in want.values()}) > 20 and got == want
 
 
+def test_few_links_are_united_without_rounds(spark):
+    # each text links with its neighbours only, so rounds over the links would double their reach again and again
+    texts = [(k, " ".join(f"w{j}" for j in range(5 * k, 5 * k + 60))) for k in range(100)]
+    spark.sparkContext.setJobGroup("few links", "")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute_components(texts) and len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) < 130
+
+
+@pytest.mark.parametrize("last", [4, 1 << 20])
+def test_links_join_known_components_in_one_task_or_in_rounds(spark, monkeypatch, last):
+    monkeypatch.setattr(graph, "LAST_EDGES", last)  # 4: one task never unites the links
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(150):
+        own = [f"w{j}" for j in range(200)]
+        for at in rng.choice(200, 7, replace=False):
+            own[at] = f"x{k}y{at}"
+        texts.append((k, " ".join(own)))
+    called = []
+    united = neardup._Join._united
+
+    def watched(join, good, new):
+        called.append(join.of is not None)
+        return united(join, good, new)
+
+    monkeypatch.setattr(neardup._Join, "_united", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.query(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert any(called) and got == brute_components(texts)
+
+
 def test_near_duplicates_below_large_nodes_of_loose_texts(spark, monkeypatch):
     # every text shares a common half: nodes are large and thin out, pairs of variants must stay together
     rng = np.random.default_rng(3)
