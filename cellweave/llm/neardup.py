@@ -271,18 +271,22 @@ class _Join:
         pairs = settle(pairs.distinct())
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = self.of_classes(ids, lambda tokens: tokens.view(np.int64), "array<long>")
+        self._let_go()
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("value").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("value").alias("tb")), "b")
         shared = F.size(F.array_intersect("ta", "tb"))
-        good = settle(both.where(100 * shared >= self.percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
-        self.good, new = good, good.count()
+        self.good = settle(both.where(100 * shared >= self.percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
+        del pairs, ids, sets, both
+        self._let_go()
+        new = self.good.count()
         if self.of is None or new:
-            self.of = settle(self._united(good, new))
-        # shuffles and checkpoints of the rounds go from the disks once the driver has let them go
-        del pairs, ids, sets, both, good
-        gc.collect()
-        self.of.sparkSession.sparkContext._jvm.System.gc()
+            self.of = settle(self._united(self.good, new))
         return self.of
 
+    def _let_go(self) -> None:
+        """Shuffles and checkpoints that nothing reads any more go from the disks: they stay until the driver collects its garbage."""
+        gc.collect()
+        self.features.sparkSession.sparkContext._jvm.System.gc()
+
     def _united(self, good: DataFrame, new: int) -> DataFrame:
         """The components with these links, ``new`` in number, added.
 
